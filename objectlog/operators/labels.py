@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import class_index, seconds_between
@@ -233,24 +233,30 @@ def window_event_counts(
     )
 
 
+def target_column(event_types: Sequence[str], mode: str, specific: str | None = None) -> Column:
+    """The target of one mode as an expression over the wide counts."""
+    if mode.startswith("specific") and specific is None:
+        raise ValueError(f"mode {mode!r} needs a specific type.")
+    total = reduce(lambda a, b: a + b, [quoted(t) for t in event_types])
+    if mode == "total_count":
+        return total.cast("double")
+    if mode == "any":
+        return (total > 0).cast("int")
+    if mode == "specific_count":
+        return quoted(specific).cast("double")
+    if mode == "specific_any":
+        return (quoted(specific) > 0).cast("int")
+    if mode == "multilabel":
+        return F.array(*[(quoted(t) > 0).cast("float") for t in event_types])
+    raise ValueError(f"Unknown mode: {mode!r}")
+
+
 def counts_to_target(
     counts: DataFrame, event_types: Sequence[str], mode: str, specific: str | None = None
 ) -> DataFrame:
     """Fold wide counts into one `target` column."""
-    if mode.startswith("specific") and specific is None:
-        raise ValueError(f"mode {mode!r} needs a specific type.")
-    total = reduce(lambda a, b: a + b, [quoted(t) for t in event_types])
-    targets = {
-        "total_count": lambda: total.cast("double"),
-        "any": lambda: (total > 0).cast("int"),
-        "specific_count": lambda: quoted(specific).cast("double"),
-        "specific_any": lambda: (quoted(specific) > 0).cast("int"),
-        "multilabel": lambda: F.array(*[(quoted(t) > 0).cast("float") for t in event_types]),
-    }
-    if mode not in targets:
-        raise ValueError(f"Unknown mode: {mode!r}")
     keys = [c for c in counts.columns if c not in set(event_types)]
-    return counts.select(*keys, targets[mode]().alias("target"))
+    return counts.select(*keys, target_column(event_types, mode, specific).alias("target"))
 
 
 # -- label tables ----------------------------------------------------------

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import log_queries
+from . import graph_queries, label_queries, log_queries, profile_queries, score_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "log_queries"]
+__all__ = ["ORACLES", "QUERIES", "graph_queries", "label_queries", "log_queries", "profile_queries", "score_queries"]
