@@ -51,6 +51,11 @@ class Grid:
             raise ValueError(f"Irregular grids are limited to {MAX_IRREGULAR} times.")
         return cls(ordered[0], timedelta(0), len(ordered), tuple(ordered))
 
+    def joins(self, other: "Grid") -> bool:
+        """True if `other` goes on where this even grid ends."""
+        even = self.times is None and other.times is None and self.step == other.step
+        return even and self.start + self.step * self.n == other.start
+
     def slot_from(self, at: Column) -> Column:
         """Number of grid times strictly before `at` = first slot at or after it."""
         return self._before(to_micros(at))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import normalized, one_hot
 from ..functions.ordered import quantiles
+from ..session import cut_lineage
 from . import metrics
 from .labels import stack_splits
 
@@ -112,6 +113,7 @@ def score(predictions: DataFrame, task_type: str) -> DataFrame:
         return metrics.regression(predictions, groups)
     if task_type == "binary":
         return metrics.binary(predictions, groups)
+    predictions = cut_lineage(predictions)
     parts = [
         metrics.accuracy(predictions, groups),
         metrics.macro_f1(predictions, groups),
@@ -133,7 +135,10 @@ def evaluate(
 ) -> DataFrame:
     """One row per baseline and split: train and val scored by predictors fitted on
     train, test by predictors fitted on train and val together."""
-    stacked = stack_splits(splits)
+    # Label tables are small next to the log; they are built once for all baselines.
+    stacked = cut_lineage(stack_splits(splits))
+    if task_type == "multiclass":
+        num_classes = class_count(stacked, num_classes)
     scored = score(predict(stacked, keys, task_type, num_classes=num_classes, seed=seed), task_type)
     sizes = stacked.agg(
         F.struct(*[F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in _FITTED_ON])

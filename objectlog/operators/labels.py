@@ -275,6 +275,7 @@ def drop_unknown(labels: DataFrame, objects: DataFrame, keys: Sequence[str] = SI
 
 
 def stack_splits(splits: dict[str, DataFrame]) -> DataFrame:
+    """All splits in one frame with a `split` column."""
     return reduce(
         DataFrame.unionByName,
         [df.withColumn("split", F.lit(name)) for name, df in splits.items()],
@@ -298,12 +299,20 @@ def split_labels(log: ObjectLog, grids: dict[str, Grid], test: datetime, build)
     """Labels per split: train and val see the log only up to the test cut.
 
     `build(log, grid)` is one of the builders above with its parameters bound.
+    Train and val lie on one even grid and are built in one go.
     """
     past = upto_time(log, test)
     known = past.object.select("object_id")
-    out = {}
-    for split, grid in grids.items():
-        labels = build(log if split == "test" else past, grid)
-        keys = [k for k in (*SINGLE, *PAIR) if k in labels.columns]
-        out[split] = drop_unknown(labels, known, keys)
-    return out
+
+    def built(source: ObjectLog, grid: Grid) -> DataFrame:
+        labels = build(source, grid)
+        return drop_unknown(labels, known, [k for k in (*SINGLE, *PAIR) if k in labels.columns])
+
+    train, val = grids["train"], grids["val"]
+    cut = F.lit(val.start).cast("timestamp_ntz")
+    if train.joins(val):
+        both = built(past, Grid.regular(train.start, train.step, train.n + val.n))
+        out = {"train": both.where(F.col("time") < cut), "val": both.where(F.col("time") >= cut)}
+    else:
+        out = {"train": built(past, train), "val": built(past, val)}
+    return {**out, "test": built(log, grids["test"])}

@@ -15,6 +15,8 @@ from ..functions.columns import argmax, normalized, softmax
 from ..functions.ordered import cumulative
 
 EPS = 1e-15
+# Computed probabilities that differ by rounding error only count as ties.
+TIE_DIGITS = 12
 
 
 def regression_columns(target: Column, pred: Column) -> list[Column]:
@@ -79,6 +81,10 @@ def binary(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     return binary_threshold(df, named).join(ranked, named).drop("_all")
 
 
+def _tied(scores: Column) -> Column:
+    return F.transform(scores, lambda x: F.round(x, TIE_DIGITS))
+
+
 def per_class(df: DataFrame, scores: Column, groups: Sequence[str] = ()) -> DataFrame:
     """One-vs-rest ranking metrics per class position."""
     long = df.select(*groups, F.col("target").alias("_label"), F.posexplode(scores).alias("class", "pred"))
@@ -99,7 +105,7 @@ def softmax_macro_auc(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     Two classes present: the AUC of the larger label's column. Fewer: null. More:
     null unless every class can be ranked.
     """
-    auc = per_class(df, softmax(F.col("pred")), groups)
+    auc = per_class(df, _tied(softmax(F.col("pred"))), groups)
     present = F.count_if(F.col("positives") > 0)
     larger = F.max_by("roc_auc", F.when(F.col("positives") > 0, F.col("class")))
     return auc.groupBy(*groups).agg(
@@ -123,7 +129,7 @@ def observed_macro_auc(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     joined = df.join(present, named)
     scores = normalized(F.transform("_kept", lambda c: F.coalesce(F.get("pred", c), F.lit(0.0))))
     relabelled = joined.withColumn("target", (F.array_position("_kept", F.col("target")) - 1).cast("int"))
-    auc = per_class(relabelled, scores, named)
+    auc = per_class(relabelled, _tied(scores), named)
     n = F.count(F.lit(1))
     value = F.when(n == 2, F.max_by("roc_auc", "class")).when(n > 2, F.avg("roc_auc"))
     return auc.groupBy(*named).agg(value.alias("roc_auc")).drop("_all")

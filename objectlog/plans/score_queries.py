@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.columns import argmax, one_hot, postprocess
 from ..grid import Grid
 from ..operators import baselines, labels, metrics, observe, stats
 from ..sources.fixtures import CLICKS_TEST, CLICKS_VAL, DAY, clicks, table
+from .jobs import SAMPLE_JOBS, job
 from .label_queries import CLICK_SPLITS, TYPES, click_splits
 from .registry import query
 from .views import on_clicks
@@ -19,15 +22,7 @@ _LEVELS = "GROUP BY GROUPING SETS ((split, time), (split), ())"
 
 def class_splits(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Labels of all splits: the next event within a day after a view, as a class."""
-    log = clicks(spark, folder)
-    low, high = observe.event_bounds(log)
-    grids = observe.split_grids(low, high, CLICKS_VAL, CLICKS_TEST, DAY)
-    return labels.split_labels(
-        log,
-        grids,
-        CLICKS_TEST,
-        lambda part, grid: labels.stage_next_event(part, "user", grid, DAY, "view", ["view", "click", "purchase"]),
-    )
+    return job("user_next_event_1d").splits(clicks(spark, folder), CLICKS_VAL, CLICKS_TEST)
 
 
 def binary_splits(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -72,6 +67,67 @@ wide AS (SELECT split, time, object_id, unnest([0, 1, 2, 3, 4]) AS pos, unnest([
 """
 
 
+# -- jobs ------------------------------------------------------------------
+
+
+@query(
+    "label_jobs_single",
+    on_clicks(BINARY_LABELS.replace(", bin AS", CLASS_LABELS.removeprefix(CLICK_SPLITS) + ", bin AS") + """
+, firsts AS (
+  SELECT c.split, c.object_id, c.t, arg_min(k.event_id, {'a': k.time, 'b': k.event_id}) AS event_id, COUNT(DISTINCT i.object_id) AS items
+  FROM cand c JOIN c_link k ON k.object_id = c.object_id AND k.type = 'purchase' AND k.time > c.t AND k.time <= c.t + INTERVAL 1 DAY
+  JOIN c_link i ON i.event_id = k.event_id AND i.object_type = 'item' GROUP BY ALL)
+SELECT 'user_purchase_count_1d' AS job, split, object_id, time, target FROM lab
+UNION ALL SELECT 'user_next_event_1d', split, object_id, time, CAST(target AS DOUBLE) FROM cls
+UNION ALL SELECT 'user_purchase_1d', split, object_id, time, CAST(target AS DOUBLE) FROM bin
+UNION ALL SELECT 'user_purchase_value_1d', f.split, f.object_id, f.t, ROUND(p.value, 6) FROM firsts f JOIN c_purchase p ON p.event_id = f.event_id
+UNION ALL SELECT 'user_item_count_1d', c.split, c.object_id, c.t, CAST(COALESCE(f.items, 0) AS DOUBLE)
+  FROM cand c LEFT JOIN firsts f ON f.split = c.split AND f.object_id = c.object_id AND f.t = c.t
+"""),
+)
+def _(spark, folder):
+    log = clicks(spark, folder)
+    parts = []
+    for one in SAMPLE_JOBS:
+        if one.keys == observe.SINGLE:
+            stacked = labels.stack_splits(one.splits(log, CLICKS_VAL, CLICKS_TEST))
+            parts.append(
+                stacked.select(F.lit(one.name).alias("job"), "split", "object_id", "time", F.col("target").cast("double").alias("target"))
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "label_jobs_pair",
+    on_clicks(CLICK_SPLITS + """
+, pair AS (
+  SELECT a.object_id AS s, b.object_id AS d, a.event_id, a.type, a.time FROM c_link a JOIN c_link b
+  ON b.event_id = a.event_id AND a.object_type = 'user' AND b.object_type = 'item'),
+known AS (SELECT object_id FROM c_object WHERE time <= TIMESTAMP '2024-01-25'),
+now AS (
+  SELECT split, s, d, t FROM (
+    SELECT g.split, p.s, p.d, g.t, arg_max(p.type, {'a': p.time, 'b': p.event_id}) AS state, MAX(p.time) AS last_at
+    FROM s_grid g JOIN pair p ON p.time <= g.t GROUP BY ALL)
+  WHERE state = 'view' AND last_at > t - INTERVAL 7 DAY AND s IN (SELECT object_id FROM known) AND d IN (SELECT object_id FROM known)),
+n AS (
+  SELECT w.split, w.s, w.d, w.t, COUNT(p.event_id) AS n FROM now w LEFT JOIN pair p
+  ON p.s = w.s AND p.d = w.d AND p.type = 'purchase' AND p.time > w.t AND p.time <= w.t + INTERVAL 1 DAY GROUP BY ALL)
+SELECT 'user_item_purchase_1d' AS job, split, s AS object_id_src, d AS object_id_dst, t AS time, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS target FROM n
+UNION ALL SELECT 'user_item_purchase_count_1d', split, s, d, t, CAST(n AS DOUBLE) FROM n
+"""),
+)
+def _(spark, folder):
+    log = clicks(spark, folder)
+    parts = []
+    for one in SAMPLE_JOBS:
+        if one.keys == observe.PAIR:
+            stacked = labels.stack_splits(one.splits(log, CLICKS_VAL, CLICKS_TEST))
+            parts.append(
+                stacked.select(F.lit(one.name).alias("job"), "split", *observe.PAIR, "time", F.col("target").cast("double").alias("target"))
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- statistics ------------------------------------------------------------
 
 
@@ -246,10 +302,12 @@ _REGRESSION_RESULT = CLICK_SPLITS + _REGRESSION_PRED + f"""
 """
 
 
+def evaluated(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return job(name).evaluate(clicks(spark, folder), CLICKS_VAL, CLICKS_TEST)
+
+
 def regression_results(spark: SparkSession, folder: str) -> DataFrame:
-    return baselines.evaluate(
-        click_splits(spark, folder), KEYS, "regression", dataset="clicks", task="user_purchase_count_1d"
-    )
+    return evaluated(spark, folder, "user_purchase_count_1d")
 
 
 @query("evaluate_regression", on_clicks(_REGRESSION_RESULT + "SELECT * FROM result"))
@@ -292,7 +350,7 @@ FROM hard h JOIN auc a ON a.baseline = h.baseline AND a.split = h.split
 """),
 )
 def _(spark, folder):
-    result = baselines.evaluate(binary_splits(spark, folder), KEYS, "binary", dataset="clicks", task="user_purchase_1d")
+    result = evaluated(spark, folder, "user_purchase_1d")
     return result.where("baseline <> 'random'")
 
 
@@ -319,9 +377,7 @@ FROM acc JOIN ff ON ff.baseline = acc.baseline AND ff.split = acc.split JOIN w O
 """),
 )
 def _(spark, folder):
-    result = baselines.evaluate(
-        class_splits(spark, folder), KEYS, "multiclass", dataset="clicks", task="user_next_event_1d", num_classes=3
-    )
+    result = evaluated(spark, folder, "user_next_event_1d")
     return result.where("baseline <> 'random'")
 
 
@@ -391,7 +447,7 @@ _SCORES = "WITH s AS (SELECT event_id, list_position(['click', 'error', 'purchas
 ) + "] AS v FROM events),\nlong AS (SELECT event_id, label, unnest(range(5)) AS class, unnest(v) AS v FROM s)\n"
 _SOFT = """
 , soft AS (SELECT event_id, label, class, exp(v - MAX(v) OVER (PARTITION BY event_id)) AS x FROM long),
-prob AS (SELECT event_id, label, class, x / SUM(x) OVER (PARTITION BY event_id) AS p FROM soft)
+prob AS (SELECT event_id, label, class, ROUND(x / SUM(x) OVER (PARTITION BY event_id), 12) AS p FROM soft)
 """
 
 
@@ -435,7 +491,7 @@ def _(spark, folder):
     _SCORES + """
 , kept AS (SELECT * FROM long WHERE label <> 2 AND class <> 2),
 scaled AS (SELECT class, label, v, SUM(v) OVER (PARTITION BY event_id) AS t FROM kept),
-share AS (SELECT class, label, CASE WHEN t = 0 THEN 0.25 ELSE v / t END AS p FROM scaled)
+share AS (SELECT class, label, ROUND(CASE WHEN t = 0 THEN 0.25 ELSE v / t END, 12) AS p FROM scaled)
 """ + _one_vs_rest("p", "share") + "SELECT ROUND(AVG(roc_auc), 6) AS roc_auc FROM auc",
 )
 def _(spark, folder):
