@@ -144,32 +144,46 @@ def lagged(
     time: str,
     k: int,
     *,
-    bucket: Column | None = None,
+    base: DataFrame | None = None,
 ) -> DataFrame:
     """Adds `lag_1..lag_k`: the `time` of the 1st..k-th row before, per key.
 
-    Rows are windowed per (key, bucket), where `bucket` (default: calendar day)
-    follows the order. Only the first and last k rows of each bucket are then
-    windowed per key, to fetch what lies before a bucket's first rows.
+    Rows are windowed per (key, day). What lies before a day's first rows comes
+    from a small side table with the last k times of each (key, day), so no key is
+    sorted whole in one task. `base` may give the same (key, time) rows from an
+    earlier, cheaper step.
     """
-    names = [f"lag_{i}" for i in range(1, k + 1)]
-    df = df.withColumn("_bucket", F.date_trunc("day", F.col(time)) if bucket is None else bucket)
-    inner = Window.partitionBy(key, "_bucket").orderBy(*order)
-    size = Window.partitionBy(key, "_bucket")
+    day = F.date_trunc("day", F.col(time))
+    df = df.withColumn("_day", day)
+    inner = Window.partitionBy(key, "_day").orderBy(*order)
     local = df.withColumns(
-        {
-            **{name: F.lag(time, i).over(inner) for i, name in enumerate(names, 1)},
-            "_head": F.row_number().over(inner),
-            "_size": F.count(F.lit(1)).over(size),
-        }
+        {**{f"_lag_{i}": F.lag(time, i).over(inner) for i in range(1, k + 1)}, "_head": F.row_number().over(inner)}
     )
-    inside = local.where(F.col("_head") > k)
-    edges = local.where((F.col("_head") <= k) | (F.col("_head") > F.col("_size") - k))
-    across = Window.partitionBy(key).orderBy(*order)
-    stitched = edges.withColumns(
-        {name: F.lag(time, i).over(across) for i, name in enumerate(names, 1)}
-    ).where(F.col("_head") <= k)
-    return inside.unionByName(stitched).drop("_bucket", "_head", "_size")
+    carried = _times_before(df if base is None else base.withColumn("_day", day), key, time, k)
+    joined = local.join(carried, same_keys(local, carried, [key, "_day"]), "left")
+    return joined.select(
+        *[local[c] for c in df.columns if c != "_day"],
+        *[
+            F.when(F.col("_head") > i, F.col(f"_lag_{i}"))
+            .otherwise(F.get("_before", F.lit(i) - F.col("_head")))
+            .alias(f"lag_{i}")
+            for i in range(1, k + 1)
+        ],
+    )
+
+
+def _times_before(df: DataFrame, key: str, time: str, k: int) -> DataFrame:
+    """key, _day, _before: the latest k times of earlier days, latest first."""
+    if k == 1:
+        last = df.groupBy(key, "_day").agg(F.array(F.max(time)).alias("_times"))
+    else:
+        # Spark keeps k rows per (key, day) on the map side.
+        rank = F.row_number().over(Window.partitionBy(key, "_day").orderBy(F.col(time).desc()))
+        top = df.select(key, "_day", time).withColumn("_rank", rank).where(F.col("_rank") <= k)
+        last = top.groupBy(key, "_day").agg(F.collect_list(time).alias("_times"))
+    earlier = Window.partitionBy(key).orderBy("_day").rowsBetween(-k, -1)
+    times = F.sort_array(F.flatten(F.collect_list("_times").over(earlier)), asc=False)
+    return last.select(key, "_day", F.slice(times, 1, k).alias("_before"))
 
 
 def densify(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Label tables: what happens to a candidate after its observation time.
 
-Each builder folds the future to one row per (key, slot) on its own and then
-joins it to the candidates on that key.
+Most builders find candidates and their future in one pass over the links (see
+`observe.staged`); the others fold the future to one row per (key, slot) and join.
 """
 
 from __future__ import annotations
@@ -18,10 +18,14 @@ from ..functions.ordered import number_rows
 from ..grid import Grid
 from ..model import ObjectLog, quoted
 from . import observe
-from .observe import PAIR, SINGLE, timed
+from .observe import AHEAD, PAIR, SINGLE, timed
 from .transform import upto_time
 
 
+def _ahead(value: Column) -> Column:
+    return F.when(F.col(AHEAD), value)
+
+
 def stage_transition(
     log: ObjectLog,
     object_type: str,
@@ -32,11 +36,8 @@ def stage_transition(
     max_age: timedelta | None = None,
 ) -> DataFrame:
     """1 if `target` happens in `(t, t + delta]`, else 0."""
-    candidates = observe.stage_candidates(log, object_type, grid, source, max_age)
-    hits = observe.future_slots(log.links_of(object_type, target), grid, delta)
-    hits = hits.select("object_id", "slot").distinct().withColumn("hit", F.lit(1))
-    joined = candidates.join(hits, ["object_id", "slot"], "left")
-    return timed(joined, SINGLE, grid, F.coalesce("hit", F.lit(0)).cast("int").alias("target"))
+    counted = stage_event_count(log, object_type, grid, delta, source, target, max_age)
+    return counted.withColumn("target", (F.col("target") > 0).cast("int"))
 
 
 def stage_next_event(
@@ -49,14 +50,12 @@ def stage_next_event(
     max_age: timedelta | None = None,
 ) -> DataFrame:
     """Class of the very next event within delta; other next events drop the row."""
-    candidates = observe.stage_candidates(log, object_type, grid, source, max_age)
-    future = observe.future_slots(log.links_of(object_type), grid, delta)
-    following = future.groupBy("object_id", "slot").agg(
-        F.min_by("type", F.struct("time", "event_id")).alias("type")
+    following = F.min_by("type", _ahead(F.struct("time", "event_id"))).alias("following")
+    rows = observe.staged(
+        log.links_of(object_type), SINGLE, grid, source, max_age, looks_ahead=F.lit(True), delta=delta, found=[following]
     )
-    following = following.where(F.col("type").isin(list(classes)))
-    joined = candidates.join(following, ["object_id", "slot"])
-    return timed(joined, SINGLE, grid, class_index(F.col("type"), classes).alias("target"))
+    rows = rows.where(F.col("following").isin(list(classes)))
+    return timed(rows, SINGLE, grid, class_index(F.col("following"), classes).alias("target"))
 
 
 def stage_event_count(
@@ -69,11 +68,29 @@ def stage_event_count(
     max_age: timedelta | None = None,
 ) -> DataFrame:
     """Number of `target` links in `(t, t + delta]`; duplicate links count."""
-    candidates = observe.stage_candidates(log, object_type, grid, source, max_age)
-    counts = observe.future_slots(log.links_of(object_type, target), grid, delta)
-    counts = counts.groupBy("object_id", "slot").agg(F.count(F.lit(1)).alias("n"))
-    joined = candidates.join(counts, ["object_id", "slot"], "left")
-    return timed(joined, SINGLE, grid, F.coalesce("n", F.lit(0)).cast("double").alias("target"))
+    return _event_count(log.links_of(object_type), SINGLE, grid, delta, source, target, max_age)
+
+
+def _event_count(
+    links: DataFrame,
+    keys: Sequence[str],
+    grid: Grid,
+    delta: timedelta,
+    source: str,
+    target: str,
+    max_age: timedelta | None,
+) -> DataFrame:
+    rows = observe.staged(
+        links,
+        keys,
+        grid,
+        source,
+        max_age,
+        looks_ahead=F.col("type") == target,
+        delta=delta,
+        found=[F.count_if(F.col(AHEAD)).alias("n")],
+    )
+    return timed(rows, keys, grid, F.coalesce("n", F.lit(0)).cast("double").alias("target"))
 
 
 def stage_related_count(
@@ -109,14 +126,19 @@ def stage_attribute_value(
     max_age: timedelta | None = None,
 ) -> DataFrame:
     """Numeric attribute of the first `target` event in the window."""
-    candidates = observe.stage_candidates(log, object_type, grid, source, max_age)
-    future = observe.future_slots(log.links_of(object_type, target), grid, delta)
-    first = future.groupBy("object_id", "slot").agg(
-        F.min_by("event_id", F.struct("time", "event_id")).alias("event_id")
+    first = F.min_by("event_id", _ahead(F.struct("time", "event_id"))).alias("event_id")
+    rows = observe.staged(
+        log.links_of(object_type),
+        SINGLE,
+        grid,
+        source,
+        max_age,
+        looks_ahead=F.col("type") == target,
+        delta=delta,
+        found=[first],
     )
-    found = candidates.join(first, ["object_id", "slot"])
     values = log[table].select("event_id", quoted(column).cast("double").alias("target"))
-    return timed(found.join(values, "event_id"), SINGLE, grid, "target")
+    return timed(rows.where("event_id IS NOT NULL").join(values, "event_id"), SINGLE, grid, "target")
 
 
 def stage_time_to_event(
@@ -192,11 +214,7 @@ def pair_event_count(
     max_age: timedelta | None = None,
 ) -> DataFrame:
     """Number of distinct `target` events of the pair in the window."""
-    candidates = observe.pair_stage_candidates(log, object_types, grid, source, max_age)
-    future = observe.future_slots(observe.pair_links(log, object_types, target), grid, delta)
-    counts = future.groupBy(*PAIR, "slot").agg(F.count(F.lit(1)).alias("n"))
-    joined = candidates.join(counts, [*PAIR, "slot"], "left")
-    return timed(joined, PAIR, grid, F.coalesce("n", F.lit(0)).cast("double").alias("target"))
+    return _event_count(observe.pair_links(log, object_types), PAIR, grid, delta, source, target, max_age)
 
 
 # -- window counts ---------------------------------------------------------
@@ -211,26 +229,25 @@ def window_event_counts(
     pair_mode: str = "observed",
 ) -> DataFrame:
     """Wide counts per event type in the future window; zero rows are kept."""
+    names = {f"_n{i}": t for i, t in enumerate(event_types)}
     if isinstance(object_types, str):
         keys = SINGLE
-        candidates = observe.active_candidates(log, object_types, grid, delta)
-        links = log.links_of(object_types, event_types).withColumn("weight", F.lit(1))
+        found = [F.count_if(F.col(AHEAD) & (F.col("type") == t)).alias(n) for n, t in names.items()]
+        rows = observe.active(
+            log.links_of(object_types), grid, delta, looks_ahead=F.col("type").isin(list(event_types)), found=found
+        )
     else:
         keys = PAIR
         build = {
             "observed": observe.observed_pair_candidates,
             "cartesian": observe.cartesian_pair_candidates,
         }[pair_mode]
-        candidates = build(log, object_types, grid, delta)
-        links = observe.pair_links(log, object_types, event_types)
-    future = observe.future_slots(links, grid, delta)
-    counts = future.groupBy(*keys, "slot").agg(
-        *[F.sum(F.when(F.col("type") == t, F.col("weight"))).alias(t) for t in event_types]
-    )
-    joined = candidates.join(counts, [*keys, "slot"], "left")
-    return timed(
-        joined, keys, grid, *[F.coalesce(quoted(t), F.lit(0)).cast("long").alias(t) for t in event_types]
-    )
+        future = observe.future_slots(observe.pair_links(log, object_types, event_types), grid, delta)
+        counts = future.groupBy(*keys, "slot").agg(
+            *[F.sum(F.when(F.col("type") == t, F.col("weight"))).alias(n) for n, t in names.items()]
+        )
+        rows = build(log, object_types, grid, delta).join(counts, [*keys, "slot"], "left")
+    return timed(rows, keys, grid, *[F.coalesce(n, F.lit(0)).cast("long").alias(t) for n, t in names.items()])
 
 
 def target_column(event_types: Sequence[str], mode: str, specific: str | None = None) -> Column:

@@ -111,59 +111,112 @@ def pair_links(
 # -- candidates ------------------------------------------------------------
 
 
-def last_states(links: DataFrame, keys: Sequence[str], grid: Grid) -> DataFrame:
-    """The latest event per key and slot interval: keys, slot, until, type, time.
+AHEAD = "_ahead"
 
-    A row holds from `slot` to `until`, the slot before the key's next event.
-    Equal times are settled by the greatest event id.
-    """
-    cells = (
-        links.withColumn("slot", grid.slot_from(F.col("time")))
-        .where(F.col("slot") < grid.n)
-        .groupBy(*keys, "slot")
-        .agg(F.max_by(F.struct("type", "time"), F.struct("time", "event_id")).alias("_last"))
-    )
-    following = F.lead("slot", 1, grid.n).over(Window.partitionBy(*keys).orderBy("slot"))
-    return cells.select(
-        *keys, "slot", (following - 1).alias("until"), F.col("_last.type").alias("type"), F.col("_last.time").alias("time")
-    )
 
-
-def in_state(
-    links: DataFrame, keys: Sequence[str], grid: Grid, source: str, max_age: timedelta | None
+def staged(
+    links: DataFrame,
+    keys: Sequence[str],
+    grid: Grid,
+    source: str,
+    max_age: timedelta | None = None,
+    *,
+    looks_ahead: Column | None = None,
+    delta: timedelta | None = None,
+    found: Sequence[Column] = (),
 ) -> DataFrame:
-    """(keys, slot) where the latest event is `source` and not older than `max_age`."""
-    states = last_states(links, keys, grid).where(F.col("type") == source)
-    until = F.col("until")
+    """(keys, slot) where the latest event is `source`, with what follows in `delta`.
+
+    One pass over the links. An event at time x settles the state of the first
+    slot at or after x, and lies in the window of the slots before it down to
+    `x - delta`: a run of slots of which the last is the past and the others are
+    ahead. Folding to (keys, slot) keeps the latest past event (equal times: the
+    greatest id) and the aggregates `found`, which read rows where `AHEAD` holds.
+    A state then holds up to the slot before the key's next row, while it is not
+    older than `max_age`. Slots between rows have nothing ahead: `found` is null.
+    """
+    here = grid.slot_from(F.col("time"))
+    first = here
+    if looks_ahead is not None:
+        first = F.when(looks_ahead, grid.slot_from_shifted(F.col("time"), -whole_seconds(delta))).otherwise(here)
+    rows = span(links.withColumn("_here", here), first, F.col("_here")).where(F.col("slot") < grid.n)
+    rows = rows.withColumn(AHEAD, F.col("slot") < F.col("_here"))
+    past = ~F.col(AHEAD)
+    cells = rows.groupBy(*keys, "slot").agg(
+        F.max_by(
+            F.struct((F.col("type") == source).alias("is_source"), "time"),
+            F.when(past, F.struct("time", "event_id")),
+        ).alias("_state"),
+        *found,
+    )
+    names = [c for c in cells.columns if c not in (*keys, "slot", "_state")]
+    order = Window.partitionBy(*keys).orderBy("slot")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    held = cells.withColumns(
+        {
+            "_state": F.last("_state", ignorenulls=True).over(so_far),
+            "_until": F.lead("slot", 1, grid.n).over(order) - 1,
+        }
+    ).where("_state.is_source")
+    return _hold(held, keys, grid, names, max_age)
+
+
+def _hold(held: DataFrame, keys: Sequence[str], grid: Grid, names: Sequence[str], max_age: timedelta | None) -> DataFrame:
+    """Spread rows over the slots they hold; their values belong to the first one."""
+    until = F.col("_until")
     if max_age is not None:
-        until = F.least(until, grid.slot_from_shifted(F.col("time"), whole_seconds(max_age)) - 1)
-    return span(states.withColumnRenamed("slot", "_slot"), F.col("_slot"), until).select(*keys, "slot")
+        until = F.least(until, grid.slot_from_shifted(F.col("_state.time"), whole_seconds(max_age)) - 1)
+    spread = span(held.withColumnRenamed("slot", "_slot"), F.col("_slot"), until)
+    own = F.col("slot") == F.col("_slot")
+    return spread.select(*keys, "slot", *[F.when(own, F.col(n)).alias(n) for n in names])
 
 
 def stage_candidates(
     log: ObjectLog, object_type: str, grid: Grid, source: str, max_age: timedelta | None = None
 ) -> DataFrame:
-    return in_state(log.links_of(object_type), SINGLE, grid, source, max_age)
+    return staged(log.links_of(object_type), SINGLE, grid, source, max_age)
 
 
-def pair_stage_candidates(
-    log: ObjectLog,
-    object_types: tuple[str, str],
+def active(
+    links: DataFrame,
     grid: Grid,
-    source: str,
-    max_age: timedelta | None = None,
+    delta: timedelta,
+    *,
+    looks_ahead: Column | None = None,
+    found: Sequence[Column] = (),
 ) -> DataFrame:
-    return in_state(pair_links(log, object_types), PAIR, grid, source, max_age)
+    """(object_id, slot) with an event in `(t - delta, t]`, object first seen by t.
+
+    One pass, as in `staged`: an event keeps its object active from the first slot
+    at or after it to the last one before `time + delta`.
+    """
+    here = grid.slot_from(F.col("time"))
+    first = here
+    if looks_ahead is not None:
+        first = F.when(looks_ahead, grid.slot_from_shifted(F.col("time"), -whole_seconds(delta))).otherwise(here)
+    seen = links.where(F.col("first_seen").isNotNull()).withColumns(
+        {"_here": here, "_reach": grid.slot_from_shifted(F.col("time"), whole_seconds(delta)) - 1}
+    )
+    rows = span(seen, first, F.col("_here")).where(F.col("slot") < grid.n)
+    rows = rows.withColumn(AHEAD, F.col("slot") < F.col("_here"))
+    cells = rows.groupBy("object_id", "slot").agg(
+        F.max(F.when(~F.col(AHEAD), F.col("_reach"))).alias("_reach"), F.min("first_seen").alias("_seen"), *found
+    )
+    names = [c for c in cells.columns if c not in ("object_id", "slot", "_reach", "_seen")]
+    order = Window.partitionBy("object_id").orderBy("slot")
+    reach = F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    held = cells.withColumns(
+        {"_until": F.least(F.lead("slot", 1, grid.n).over(order) - 1, reach)}
+    ).withColumnRenamed("slot", "_slot")
+    start = F.greatest("_slot", grid.slot_from(F.col("_seen")))
+    own = F.col("slot") == F.col("_slot")
+    return span(held, start, F.col("_until")).select(
+        "object_id", "slot", *[F.when(own, F.col(n)).alias(n) for n in names]
+    )
 
 
 def active_candidates(log: ObjectLog, object_type: str, grid: Grid, delta: timedelta) -> DataFrame:
-    """(object_id, slot): an event in `(t - delta, t]`, object first seen by t."""
-    links = log.links_of(object_type).where(F.col("first_seen").isNotNull())
-    first = F.greatest(grid.slot_from(F.col("time")), grid.slot_from(F.col("first_seen")))
-    last = grid.slot_from_shifted(F.col("time"), whole_seconds(delta)) - 1
-    runs = links.withColumns({"_a": first, "_b": last}).where("_a <= _b")
-    runs = runs.groupBy("object_id", "_a").agg(F.max("_b").alias("_b"))
-    return span(runs, F.col("_a"), F.col("_b")).select("object_id", "slot").distinct()
+    return active(log.links_of(object_type), grid, delta)
 
 
 def _active(log: ObjectLog, object_type: str, grid: Grid, delta: timedelta, name: str) -> DataFrame:
