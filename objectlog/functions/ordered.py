@@ -9,8 +9,6 @@ the buckets together over one small row per bucket.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,37 +24,30 @@ def _bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("int")
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def cumulative(hist: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """Running totals in ascending order of `value` within each group.
 
     `hist` has one row per (group, value). Adds `<c>_upto` (inclusive) and
     `<c>_all` (group total) for each column of `sums`.
     """
-    hist = hist.withColumn("_bucket", _bucket(F.col(value)))
-    inner = Window.partitionBy(*groups, "_bucket").orderBy(value).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    outer = Window.partitionBy(*groups).orderBy("_bucket")
-    before = outer.rowsBetween(Window.unboundedPreceding, -1)
+    # A struct is a null-safe key: the join below reuses the window's partitioning.
+    hist = hist.withColumn("_key", F.struct(*groups, _bucket(F.col(value)).alias("_bucket")))
+    inner = Window.partitionBy("_key").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = hist.withColumns({f"_{c}_run": F.sum(c).over(inner) for c in sums})
     # One row per (group, bucket): at most a few hundred thousand buckets exist.
-    totals = hist.groupBy(*groups, "_bucket").agg(*[F.sum(c).alias(f"_{c}_sum") for c in sums])
-    whole = Window.partitionBy(*groups)
+    totals = hist.groupBy("_key").agg(*[F.sum(c).alias(f"_{c}_sum") for c in sums])
+    whole = Window.partitionBy(*[F.col("_key")[g] for g in groups])
+    before = whole.orderBy(F.col("_key._bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
-        *groups,
-        "_bucket",
+        "_key",
         *[F.coalesce(F.sum(f"_{c}_sum").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums],
         *[F.sum(f"_{c}_sum").over(whole).alias(f"{c}_all") for c in sums],
     )
-    joined = running.join(totals, same_keys(running, totals, [*groups, "_bucket"]), "inner")
+    joined = running.join(totals, "_key")
     return joined.select(
-        *[running[c] for c in hist.columns if c != "_bucket"],
+        *[c for c in hist.columns if c != "_key"],
         *[(F.col(f"_{c}_before") + F.col(f"_{c}_run")).alias(f"{c}_upto") for c in sums],
-        *[F.col(f"{c}_all") for c in sums],
+        *[f"{c}_all" for c in sums],
     )
 
 
@@ -160,9 +151,9 @@ def lagged(
         {**{f"_lag_{i}": F.lag(time, i).over(inner) for i in range(1, k + 1)}, "_head": F.row_number().over(inner)}
     )
     carried = _times_before(df if base is None else base.withColumn("_day", day), key, time, k)
-    joined = local.join(carried, same_keys(local, carried, [key, "_day"]), "left")
+    joined = local.join(carried, [key, "_day"], "left")
     return joined.select(
-        *[local[c] for c in df.columns if c != "_day"],
+        *[c for c in df.columns if c != "_day"],
         *[
             F.when(F.col("_head") > i, F.col(f"_lag_{i}"))
             .otherwise(F.get("_before", F.lit(i) - F.col("_head")))
