@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-# Logarithmic buckets: 64 per doubling, so the bucket order is the value order.
-_PER_DOUBLING = 64
+# Logarithmic buckets, so the bucket order is the value order. A group then has a
+# few hundred thousand buckets at most, and values within one percent of each
+# other still fall into some sixty of them.
+_PER_DOUBLING = 4096
 _CHUNK = 1_000_000
 
 
 def _bucket(value: Column) -> Column:
-    size = F.floor(F.log2(F.abs(value)) * _PER_DOUBLING) + 200_000
+    size = F.floor(F.log2(F.abs(value)) * _PER_DOUBLING) + 10_000_000
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("int")
 
 
@@ -183,6 +185,7 @@ def densify(df: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
         F.col("_first") <= F.col("_last")
     )
     chunks = chunks.withColumn("_from", F.explode(F.sequence("_first", "_last", F.lit(_CHUNK).cast("long"))))
-    return chunks.withColumn(
+    # One small row per chunk: spread them before they grow.
+    return chunks.repartition("_from").withColumn(
         name, F.explode(F.sequence("_from", F.least("_last", F.col("_from") + (_CHUNK - 1))))
     ).drop("_first", "_last", "_from")

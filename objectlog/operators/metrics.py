@@ -124,9 +124,10 @@ def observed_macro_auc(df: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     named = list(groups) or ["_all"]
     df = df if groups else df.withColumn("_all", F.lit(0))
     df = df.withColumn("target", F.col("target").cast("int"))
-    # One short list of class labels per group.
+    # Broadcast: one short list of labels per group, and groups are baselines and
+    # splits.
     present = df.groupBy(*named).agg(F.sort_array(F.collect_set("target")).alias("_kept"))
-    joined = df.join(present, named)
+    joined = df.join(F.broadcast(present), named)
     scores = normalized(F.transform("_kept", lambda c: F.coalesce(F.get("pred", c), F.lit(0.0))))
     relabelled = joined.withColumn("target", (F.array_position("_kept", F.col("target")) - 1).cast("int"))
     auc = per_class(relabelled, _tied(scores), named)

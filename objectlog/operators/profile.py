@@ -162,14 +162,18 @@ def type_mix_above_length(log: ObjectLog, object_types: Iterable[str] | None = N
         F.col("object_trace_length").alias("length"), F.coalesce(F.col("type").cast("string"), F.lit("unknown")).alias("type")
     )
     if object_types is None:
-        object_types = [r[0] for r in typed.select("type").distinct().collect()]
+        object_types = {r[0] for r in log.object.select(F.col("type").cast("string")).distinct().collect()} - {None}
+        object_types |= {"unknown"}
     names = {f"t{i}": kind for i, kind in enumerate(sorted(object_types))}
     hist = typed.groupBy("length").agg(*[F.count_if(F.col("type") == kind).alias(c) for c, kind in names.items()])
     steps = _above_steps(hist, list(names))
     above = reduce(lambda a, b: a + b, [F.col(f"{c}_above") for c in names])
     total = reduce(lambda a, b: a + b, [F.col(f"{c}_total") for c in names])
     rows = F.array(
-        *[F.struct(F.lit(kind).alias("object_type"), F.col(f"{c}_above").alias("n")) for c, kind in names.items()]
+        *[
+            F.struct(F.lit(kind).alias("object_type"), F.col(f"{c}_above").alias("n"), F.col(f"{c}_total").alias("of_type"))
+            for c, kind in names.items()
+        ]
     )
     curve = densify(
         steps.select("length", "until", above.alias("above"), total.alias("total"), rows.alias("rows")),
@@ -178,7 +182,8 @@ def type_mix_above_length(log: ObjectLog, object_types: Iterable[str] | None = N
         "trace_length_threshold",
     )
     share = F.when(F.col("above") > 0, F.col("n") / F.col("above")).otherwise(F.lit(0.0))
-    return curve.select("trace_length_threshold", "above", "total", F.inline("rows")).select(
+    long = curve.select("trace_length_threshold", "above", "total", F.inline("rows")).where("of_type > 0")
+    return long.select(
         "trace_length_threshold",
         "object_type",
         F.col("n").alias("object_count_above_threshold"),

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import quantiles
+from ..session import cut_lineage
 
 _KEYS = ["split", "time"]
 
@@ -118,16 +120,27 @@ def bootstrap(
     cap: int = 10_000,
     alpha: float = 0.95,
     seed: int = 42,
+    splits: Sequence[str] = ("train", "val", "test"),
 ) -> DataFrame:
     """split, statistic, point, lower, upper by resampling with Poisson weights.
 
     Statistics: mean, std, q25, q50, q75, or the share of each class. Splits with
-    more than `cap` rows are sampled down by hash order. Every resample draws one
-    weight per sampled row from a hashed uniform number.
+    more than `cap` rows are sampled down to the first `cap` in hash order, a top-k
+    per task before any shuffle. Every resample draws one weight per sampled row
+    from a hashed uniform number.
     """
-    order = Window.partitionBy("split").orderBy(F.xxhash64(F.lit(seed), "time", *keys))
-    sample = labels.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= cap)
-    sample = sample.select("split", "_rank", F.col("target").cast("double").alias("target"))
+    labels = cut_lineage(labels.select("split", "time", *keys, F.col("target").cast("double").alias("target")))
+    code = F.xxhash64(F.lit(seed), "time", *keys)
+    sample = reduce(
+        DataFrame.unionByName,
+        [
+            labels.where(F.col("split") == split).orderBy(code, "time", *keys).limit(cap).select("split", code.alias("_code"), "target")
+            for split in splits
+        ],
+    )
+    # At most `cap` rows per split are left.
+    order = Window.partitionBy("split").orderBy("_code", "target")
+    sample = sample.withColumn("_rank", F.row_number().over(order)).drop("_code")
     drawn = sample.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
     bits = F.xxhash64(F.lit(seed), "split", "_rank", "replicate").bitwiseAND(F.lit((1 << 52) - 1))
     uniform = bits / F.lit(float(1 << 52))
