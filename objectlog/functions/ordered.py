@@ -26,6 +26,17 @@ def _bucket(value: Column) -> Column:
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("int")
 
 
+def fold(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """Aggregates per key, meant to be joined back to the rows they come from.
+
+    Grouping by a struct of the key hides the aggregation's partitioning from the
+    join: both sides then get an exchange of their own, which is what Spark needs
+    to split the rows of a hot key over several tasks.
+    """
+    grouped = df.groupBy(F.struct(F.col(key).alias("key")).alias("_k")).agg(*aggregates)
+    return grouped.select(F.col("_k.key").alias(key), *[c for c in grouped.columns if c != "_k"])
+
+
 def cumulative(hist: DataFrame, groups: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
     """Running totals in ascending order of `value` within each group.
 

@@ -96,29 +96,40 @@ class ObjectLog:
     def objects_of(self, object_type: str | Iterable[str]) -> DataFrame:
         return self.object.where(F.col("type").isin(as_list(object_type)))
 
+    def members(self, object_type: str) -> DataFrame:
+        """object_id, first_seen of one type. Ids are unique in a valid log."""
+        return self.objects_of(object_type).select("object_id", F.col("time").alias("first_seen"))
+
     def links_of(
         self, object_type: str, event_types: str | Iterable[str] | None = None
     ) -> DataFrame:
         """`links` of objects of one type, with the object's first-seen time.
 
-        The log carries a ready-made `typed_link` table when it was stored with
-        one; then this is a scan of one partition and no join at all.
+        A log stored with its `typed_link` table answers this by reading one
+        partition, without any join.
         """
         if "typed_link" in self.tables:
             wide = self.tables["typed_link"].where(F.col("object_type") == object_type)
             if event_types is not None:
                 wide = wide.where(F.col("type").isin(as_list(event_types)))
             return wide.select("object_id", "event_id", "type", "time", "first_seen")
-        objects = self.objects_of(object_type).groupBy("object_id").agg(
-            F.min("time").alias("first_seen")
-        )
-        return self.links(event_types).join(objects, "object_id").select(
+        return self.links(event_types).join(self.members(object_type), "object_id").select(
             "object_id", "event_id", "type", "time", "first_seen"
         )
 
+    def links_and_members(self, object_type: str) -> tuple[DataFrame, DataFrame | None]:
+        """Links, and the objects still to be joined to whatever is folded from them.
+
+        Folding first means a hot object's links never travel to one task: they
+        are combined where they are. None: the links are of that type already.
+        """
+        if "typed_link" in self.tables:
+            return self.links_of(object_type), None
+        return self.links(), self.members(object_type)
+
     def with_typed_links(self) -> "ObjectLog":
-        objects = self.object.groupBy("object_id", F.col("type").alias("object_type")).agg(
-            F.min("time").alias("first_seen")
+        objects = self.object.select(
+            "object_id", F.col("type").alias("object_type"), F.col("time").alias("first_seen")
         )
         return self.replace(typed_link=self.links().join(objects, "object_id"))
 

@@ -66,11 +66,14 @@ def fitted(stacked: DataFrame, key: str) -> DataFrame:
     rows = stacked.where(F.col("split").isin("train", "val")).withColumn("fit", F.explode(used))
     overall = fit(rows, ["fit"])
     entity = fit(rows, ["fit", key])
-    entity = entity.select("fit", key, *[F.col(c).alias(f"entity_{c}") for c in ("mean", "median", "majority")])
+    # Joined on a struct, so that a hot entity's labels can be split (see `fold`).
+    own = F.struct("fit", key).alias("_own")
+    entity = entity.select(own, *[F.col(c).alias(f"entity_{c}") for c in ("mean", "median", "majority")])
     source = F.create_map(*[F.lit(x) for pair in _FITTED_ON.items() for x in pair])
     scored = stacked.withColumn("fit", source[F.col("split")])
     # `overall` has two rows, one per fit.
-    return scored.join(F.broadcast(overall), "fit", "left").join(entity, ["fit", key], "left")
+    scored = scored.join(F.broadcast(overall), "fit", "left").withColumn("_own", own)
+    return scored.join(entity, "_own", "left").drop("_own")
 
 
 def predict(

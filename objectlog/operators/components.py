@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import hours_between
+from ..functions.ordered import fold
 from ..model import ObjectLog
 from ..session import cut_lineage
 
@@ -15,7 +16,7 @@ MAX_ROUNDS = 100
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
     around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = fold(around, "u", F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     return around.join(least, "u").where(F.col("v") > F.col("u")).select(
         F.col("v").alias("u"), F.col("m").alias("v")
     ).distinct()
@@ -23,7 +24,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = fold(edges, "u", F.min("v").alias("m"))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where(
         F.col("u") != F.col("v")
@@ -59,7 +60,7 @@ def object_components(log: ObjectLog) -> DataFrame:
     never all pairs. Isolated objects are their own component.
     """
     links = log.e2o.select("event_id", "object_id")
-    hub = links.groupBy("event_id").agg(F.min("object_id").alias("hub"))
+    hub = fold(links, "event_id", F.min("object_id").alias("hub"))
     edges = links.join(hub, "event_id").where(F.col("object_id") != F.col("hub")).select(
         F.col("object_id").alias("u"), F.col("hub").alias("v")
     ).distinct()

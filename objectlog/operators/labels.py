@@ -51,8 +51,9 @@ def stage_next_event(
 ) -> DataFrame:
     """Class of the very next event within delta; other next events drop the row."""
     following = F.min_by("type", _ahead(F.struct("time", "event_id"))).alias("following")
+    links, members = log.links_and_members(object_type)
     rows = observe.staged(
-        log.links_of(object_type), SINGLE, grid, source, max_age, looks_ahead=F.lit(True), delta=delta, found=[following]
+        links, SINGLE, grid, source, max_age, members=members, looks_ahead=F.lit(True), delta=delta, found=[following]
     )
     rows = rows.where(F.col("following").isin(list(classes)))
     return timed(rows, SINGLE, grid, class_index(F.col("following"), classes).alias("target"))
@@ -68,11 +69,13 @@ def stage_event_count(
     max_age: timedelta | None = None,
 ) -> DataFrame:
     """Number of `target` links in `(t, t + delta]`; duplicate links count."""
-    return _event_count(log.links_of(object_type), SINGLE, grid, delta, source, target, max_age)
+    links, members = log.links_and_members(object_type)
+    return _event_count(links, members, SINGLE, grid, delta, source, target, max_age)
 
 
 def _event_count(
     links: DataFrame,
+    members: DataFrame | None,
     keys: Sequence[str],
     grid: Grid,
     delta: timedelta,
@@ -86,6 +89,7 @@ def _event_count(
         grid,
         source,
         max_age,
+        members=members,
         looks_ahead=F.col("type") == target,
         delta=delta,
         found=[F.count_if(F.col(AHEAD)).alias("n")],
@@ -127,12 +131,14 @@ def stage_attribute_value(
 ) -> DataFrame:
     """Numeric attribute of the first `target` event in the window."""
     first = F.min_by("event_id", _ahead(F.struct("time", "event_id"))).alias("event_id")
+    links, members = log.links_and_members(object_type)
     rows = observe.staged(
-        log.links_of(object_type),
+        links,
         SINGLE,
         grid,
         source,
         max_age,
+        members=members,
         looks_ahead=F.col("type") == target,
         delta=delta,
         found=[first],
@@ -152,7 +158,7 @@ def stage_time_to_event(
     """Seconds to the next `target`, however far; rows without one are dropped."""
     candidates = observe.stage_candidates(log, object_type, grid, source, max_age)
     # An event follows all slots up to the last one before it.
-    ahead = log.links_of(object_type, target).select(
+    ahead = log.links(target).select(
         "object_id", (grid.slot_from(F.col("time")) - 1).alias("slot"), "time"
     )
     ahead = ahead.where("slot >= 0").groupBy("object_id", "slot").agg(F.min("time").alias("next"))
@@ -214,7 +220,7 @@ def pair_event_count(
     max_age: timedelta | None = None,
 ) -> DataFrame:
     """Number of distinct `target` events of the pair in the window."""
-    return _event_count(observe.pair_links(log, object_types), PAIR, grid, delta, source, target, max_age)
+    return _event_count(observe.pair_links(log, object_types), None, PAIR, grid, delta, source, target, max_age)
 
 
 # -- window counts ---------------------------------------------------------
@@ -234,7 +240,7 @@ def window_event_counts(
         keys = SINGLE
         found = [F.count_if(F.col(AHEAD) & (F.col("type") == t)).alias(n) for n, t in names.items()]
         rows = observe.active(
-            log.links_of(object_types), grid, delta, looks_ahead=F.col("type").isin(list(event_types)), found=found
+            log, object_types, grid, delta, looks_ahead=F.col("type").isin(list(event_types)), found=found
         )
     else:
         keys = PAIR

@@ -121,6 +121,7 @@ def staged(
     source: str,
     max_age: timedelta | None = None,
     *,
+    members: DataFrame | None = None,
     looks_ahead: Column | None = None,
     delta: timedelta | None = None,
     found: Sequence[Column] = (),
@@ -134,6 +135,7 @@ def staged(
     greatest id) and the aggregates `found`, which read rows where `AHEAD` holds.
     A state then holds up to the slot before the key's next row, while it is not
     older than `max_age`. Slots between rows have nothing ahead: `found` is null.
+    `members` restricts the keys after the folding.
     """
     here = grid.slot_from(F.col("time"))
     first = here
@@ -150,6 +152,8 @@ def staged(
         *found,
     )
     names = [c for c in cells.columns if c not in (*keys, "slot", "_state")]
+    if members is not None:
+        cells = cells.join(members.select(*keys), list(keys), "left_semi")
     order = Window.partitionBy(*keys).orderBy("slot")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     held = cells.withColumns(
@@ -174,11 +178,13 @@ def _hold(held: DataFrame, keys: Sequence[str], grid: Grid, names: Sequence[str]
 def stage_candidates(
     log: ObjectLog, object_type: str, grid: Grid, source: str, max_age: timedelta | None = None
 ) -> DataFrame:
-    return staged(log.links_of(object_type), SINGLE, grid, source, max_age)
+    links, members = log.links_and_members(object_type)
+    return staged(links, SINGLE, grid, source, max_age, members=members)
 
 
 def active(
-    links: DataFrame,
+    log: ObjectLog,
+    object_type: str,
     grid: Grid,
     delta: timedelta,
     *,
@@ -194,21 +200,27 @@ def active(
     first = here
     if looks_ahead is not None:
         first = F.when(looks_ahead, grid.slot_from_shifted(F.col("time"), -whole_seconds(delta))).otherwise(here)
-    seen = links.where(F.col("first_seen").isNotNull()).withColumns(
+    links, members = log.links_and_members(object_type)
+    seen = links.withColumns(
         {"_here": here, "_reach": grid.slot_from_shifted(F.col("time"), whole_seconds(delta)) - 1}
     )
     rows = span(seen, first, F.col("_here")).where(F.col("slot") < grid.n)
     rows = rows.withColumn(AHEAD, F.col("slot") < F.col("_here"))
     cells = rows.groupBy("object_id", "slot").agg(
-        F.max(F.when(~F.col(AHEAD), F.col("_reach"))).alias("_reach"), F.min("first_seen").alias("_seen"), *found
+        F.max(F.when(~F.col(AHEAD), F.col("_reach"))).alias("_reach"),
+        *found,
+        *([F.min("first_seen").alias("first_seen")] if members is None else []),
     )
-    names = [c for c in cells.columns if c not in ("object_id", "slot", "_reach", "_seen")]
+    if members is not None:
+        cells = cells.join(members, "object_id")
+    cells = cells.where(F.col("first_seen").isNotNull())
+    names = [c for c in cells.columns if c not in ("object_id", "slot", "_reach", "first_seen")]
     order = Window.partitionBy("object_id").orderBy("slot")
     reach = F.max("_reach").over(order.rowsBetween(Window.unboundedPreceding, 0))
     held = cells.withColumns(
         {"_until": F.least(F.lead("slot", 1, grid.n).over(order) - 1, reach)}
     ).withColumnRenamed("slot", "_slot")
-    start = F.greatest("_slot", grid.slot_from(F.col("_seen")))
+    start = F.greatest("_slot", grid.slot_from(F.col("first_seen")))
     own = F.col("slot") == F.col("_slot")
     return span(held, start, F.col("_until")).select(
         "object_id", "slot", *[F.when(own, F.col(n)).alias(n) for n in names]
@@ -216,11 +228,14 @@ def active(
 
 
 def active_candidates(log: ObjectLog, object_type: str, grid: Grid, delta: timedelta) -> DataFrame:
-    return active(log.links_of(object_type), grid, delta)
+    return active(log, object_type, grid, delta)
 
 
 def _active(log: ObjectLog, object_type: str, grid: Grid, delta: timedelta, name: str) -> DataFrame:
-    slots = past_slots(log.links_of(object_type), SINGLE, grid, delta)
+    links, members = log.links_and_members(object_type)
+    slots = past_slots(links, SINGLE, grid, delta)
+    if members is not None:
+        slots = slots.join(members.select("object_id"), "object_id", "left_semi")
     return slots.withColumnRenamed("object_id", name)
 
 

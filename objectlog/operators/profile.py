@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import from_micros, micros, to_micros
-from ..functions.ordered import densify, quantiles
+from ..functions.ordered import densify, fold, quantiles
 from ..grid import Grid, span
 from ..model import ObjectLog, quoted
 
@@ -67,7 +67,7 @@ def degree_summary(log: ObjectLog) -> DataFrame:
 
 def trace_lengths(log: ObjectLog) -> DataFrame:
     linked = log.e2o.where("event_id IS NOT NULL AND object_id IS NOT NULL")
-    return linked.groupBy("object_id").agg(F.count_distinct("event_id").alias("object_trace_length"))
+    return fold(linked, "object_id", F.count_distinct("event_id").alias("object_trace_length"))
 
 
 def coverage_by_min_length(log: ObjectLog) -> DataFrame:
