@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from ..functions.columns import normalize_token, unix_seconds
 from ..functions.ordered import number_rows
 from ..model import ObjectLog
 from ..operators import components, graph, profile, transform, validate, vocab
-from ..sources import fixtures, json_docs, normalize
+from ..session import shared_folder
+from ..sources import fixtures, json_docs, normalize, store
 from ..sources.fixtures import clicks, orders, table
 from .recipes import BASE_ROLES
 from .registry import query
@@ -74,6 +76,43 @@ def _event_elements(spark: SparkSession, folder: str) -> DataFrame:
     return events.unionByName(objects)
 
 
+@query(
+    "json_versions",
+    """
+SELECT event_id, CASE event_type WHEN 'view' THEN '2.0' WHEN 'click' THEN '1.0' WHEN 'signup' THEN '2.0' WHEN 'error' THEN '1.0' END AS version
+FROM events
+""",
+)
+def _(spark, folder):
+    value = F.col("value").cast("string")
+    kind = F.col("event_type")
+    text = (
+        F.when(kind == "view", F.concat(F.lit('{"objectTypes":[],"x":'), value, F.lit(',"eventTypes":[{"name":"ocel:global-log"}]}')))
+        .when(kind == "click", F.concat(F.lit('{"ocel:global-log":{"v":'), value, F.lit('},"ocel:events":{}}')))
+        .when(kind == "signup", F.concat(F.lit('{"eventTypes":[],"objectTypes":[],"ocel:global-log":'), value, F.lit("}")))
+        .when(kind == "error", F.concat(F.lit('{"eventTypes":[],"ocel:global-log":'), value, F.lit(',"objectTypes":[]}')))
+        .otherwise(F.concat(F.lit('{"events":['), value, F.lit("]}")))
+    )
+    return table(spark, folder, "events").select("event_id", json_docs.version_of(text).alias("version"))
+
+
+@query(
+    "store_round_trip",
+    on_clicks("""
+SELECT 'event' AS "table", event_id AS id, type AS ref, time FROM c_event
+UNION ALL SELECT 'object', object_id, type, time FROM c_object
+UNION ALL SELECT 'e2o', event_id, object_id, time FROM c_e2o WHERE time < TIMESTAMP '2024-01-11'
+UNION ALL SELECT 'o2o', object_id_src, object_id_dst, time FROM c_o2o
+"""),
+)
+def _(spark, folder):
+    path = f"{shared_folder(spark)}/clicks-{uuid4().hex}"
+    store.save(clicks(spark, folder), path)
+    whole = store.load(spark, path)
+    part = store.load(spark, path, until=date(2024, 1, 10))
+    return _rows(whole.replace(e2o=part.e2o), "event", "object", "e2o", "o2o")
+
+
 @query(
     "json2_tables",
     on_clicks("""

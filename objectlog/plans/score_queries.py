@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions.columns import argmax, one_hot, postprocess
 from ..grid import Grid
 from ..operators import baselines, labels, metrics, observe, stats
+from ..session import shared_folder
 from ..sources.fixtures import CLICKS_TEST, CLICKS_VAL, DAY, clicks, table
 from .jobs import SAMPLE_JOBS, job
 from .label_queries import CLICK_SPLITS, TYPES, click_splits
-from .registry import query
+from .registry import query, rounded
 from .views import on_clicks
 
 KEYS = ("object_id",)
@@ -315,6 +317,14 @@ def _(spark, folder):
     return regression_results(spark, folder)
 
 
+@query("export_results", on_clicks(_REGRESSION_RESULT + "SELECT * FROM result"))
+def _(spark, folder):
+    path = f"{shared_folder(spark)}/results-{uuid4().hex}"
+    results = rounded(regression_results(spark, folder))
+    baselines.export_csv(results, path)
+    return spark.read.schema(results.schema).option("header", True).csv(path)
+
+
 def _auc(groups: str, source: str) -> str:
     """Pairwise-free AUC and average precision of (groups, target 0/1, pred)."""
     return f"""

@@ -25,15 +25,20 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the shared checkpoint folder; survives executor loss.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder all executors reach, for checkpoints and written tables.
 
-    The folder is the one named by `spark.checkpoint.dir`. A scratch folder is
-    used only when the session names none (tests, laptops).
+    It lies in the one named by `spark.checkpoint.dir`. A scratch folder is used
+    only when the session names none (tests, laptops).
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the shared folder; survives executor loss."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -56,10 +56,9 @@ def clicks(spark: SparkSession, folder: str) -> ObjectLog:
     )
 
 
-def _ships(spark: SparkSession, folder: str) -> DataFrame:
+def _ships(lines: DataFrame) -> DataFrame:
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
     day = F.date_format("l_shipdate", "yyyyMMdd")
-    lines = table(spark, folder, "lineitem").select(*keys, "l_returnflag")
     return lines.groupBy(*keys).agg(F.min("l_returnflag").alias("flag")).withColumn(
         "event_id",
         F.concat(F.lit("l"), F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", day)),
@@ -70,7 +69,7 @@ def orders(spark: SparkSession, folder: str) -> ObjectLog:
     """Order and shipping events over customers, orders, parts and suppliers."""
     head = table(spark, folder, "orders")
     lines = table(spark, folder, "lineitem")
-    ships = _ships(spark, folder)
+    ships = _ships(lines)
     order_id = F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("event_id")
     placed = F.array(
         F.struct(_named("cust", "o_custkey").alias("object_id"), F.lit("customer").alias("qualifier")),
