@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from objectlog.functions.ordered import cumulative, densify, lagged, number_rows, quantiles
 from objectlog.operators import metrics
+from objectlog.sources.normalize import fill_forward
 
 from .conftest import HOUR, START
 
@@ -45,8 +46,10 @@ def test_lags_cross_days(spark):
     rng = random.Random(4)
     rows = [(k, START + HOUR * rng.randrange(400), f"e{i:04d}") for i, k in enumerate(["hot"] * 300 + ["cold"] * 20)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, e string")
-    got = {r.e: (r.lag_1, r.lag_2, r.lag_3) for r in lagged(df, "k", ["t", "e"], "t", 3).collect()}
-    one = {r.e: r.lag_1 for r in lagged(df, "k", ["t", "e"], "t", 1).collect()}
+    got = {r.e: (r.lag_1, r.lag_2, r.lag_3) for r in lagged(df, "k", ["t", "e"], "t", 3, hot_rows=50).collect()}
+    one = {r.e: r.lag_1 for r in lagged(df, "k", ["t", "e"], "t", 1, hot_rows=0).collect()}
+    plain = {r.e: r.lag_1 for r in lagged(df, "k", ["t", "e"], "t", 1).collect()}
+    assert plain == one
     for key in ("hot", "cold"):
         own = sorted((t, e) for k, t, e in rows if k == key)
         for i, (_t, e) in enumerate(own):
@@ -54,6 +57,25 @@ def test_lags_cross_days(spark):
             assert got[e] == want and one[e] == want[0]
 
 
+def test_values_carry_over_days(spark):
+    rng = random.Random(8)
+    rows = [
+        (k, START + HOUR * rng.randrange(400), i, rng.choice([None, None, None, f"v{i}"]), rng.choice([None, float(i)]))
+        for i, k in enumerate(["hot"] * 300 + ["cold"] * 20)
+    ]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, i int, a string, b double")
+    want = {}
+    for key in ("hot", "cold"):
+        a = b = None
+        for _k, t, i, va, vb in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
+            a, b = va if va is not None else a, vb if vb is not None else b
+            want[i] = (a, b)
+    for hot_rows in (0, 50, 10_000):
+        out = fill_forward(df, "k", ["t", "i"], "t", ["a", "b"], hot_rows=hot_rows)
+        assert out.columns == df.columns
+        assert {r.i: (r.a, r.b) for r in out.collect()} == want
+
+
 def test_row_numbers_are_contiguous(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"))
     rows = number_rows(df, ["v"]).orderBy("row_id").collect()
