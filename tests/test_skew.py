@@ -57,7 +57,7 @@ def final_plan(df):
     [
         lambda log: log.links_of("T").groupBy("object_id", "type").count(),
         profile.coverage_by_min_length,
-        timing.recent_activity,
+        lambda log: timing.recent_activity(log, hot_rows=1000),
         timing.age_at_event,
     ],
     ids=["links_of", "coverage", "recent_activity", "age_at_event"],
