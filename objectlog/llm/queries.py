@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality, sharding
-from .common import read
+from ..session import shared_folder
+from . import quality, sharding, simhash, warc
+from .common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,6 +21,47 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/archives-{uuid4().hex}"
+    warc.write_archives(read(spark, folder, "pages"), path)
+    told = F.regexp_extract(F.col("payload").cast("string"), r"page-id: (-?[0-9]+)", 1)
+    facts = F.when(F.col("type") == "metadata", told).alias("page_id")
+    records = stored(warc.read_archives(spark, path).select("*", facts).drop("payload", "head"), "records")
+    captures = stored(
+        warc.assemble(records).select(
+            "capture",
+            "type",
+            F.col("response.refers_to").alias("first"),
+            F.col("response.payload_bytes").alias("payload_bytes"),
+            F.col("response.payload_sha256").alias("payload_digest"),
+            F.col("metadata")[0]["page_id"].try_cast("bigint").alias("page_id"),
+        ),
+        "captures",
+    )
+    held = captures.select(
+        F.col("capture").alias("first"),
+        F.col("page_id").alias("refers_to"),
+        F.col("payload_bytes").alias("held_bytes"),
+        F.col("payload_digest").alias("held_digest"),
+    )
+    return captures.join(held, "first", "left").select(
+        "page_id",
+        F.coalesce("held_bytes", "payload_bytes").alias("payload_bytes"),
+        F.coalesce("held_digest", "payload_digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
+
+
+ORACLES["op3_warc"] = warc.ORACLE
+
+
+@query
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.clusters(read(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents")).select(
