@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import quality, sharding, simhash, warc
+from . import decontam, quality, sharding, simhash, warc
 from .common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,22 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op2_suffix_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontam.find(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+ORACLES["op2_suffix_automaton"] = decontam.ORACLE
+
+
 @query
 def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/archives-{uuid4().hex}"
