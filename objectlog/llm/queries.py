@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import decontam, quality, sharding, simhash, warc
+from . import decontam, quality, sharding, simhash, token_output, warc
 from .common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +79,13 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.clusters(read(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op7_rans(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid4().hex}"
+    token_output.write_tokens(read(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_output.read_tokens(spark, path)
+
+
 @query
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents")).select(
