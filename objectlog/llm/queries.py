@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import decontam, quality, sharding, simhash, token_output, url_filter, warc
+from . import decontam, line_dedup, quality, sharding, simhash, token_output, url_filter, warc
 from .common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,11 @@ def op5_url_models(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judge(read(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op6_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.judge(read(spark, folder, "documents"))
+
+
 @query
 def op7_rans(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens-{uuid4().hex}"
