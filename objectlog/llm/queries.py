@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import decontam, line_dedup, quality, sharding, simhash, token_output, url_filter, warc
+from . import decontam, line_dedup, mixing, quality, sharding, simhash, token_output, url_filter, warc
 from .common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +22,16 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+SHARES = {"good": 0.85, "poor": 0.15, "toxic": 0.0}
+
+
+@query
+def op1_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mixing.mix(read(spark, folder, "documents"), read(spark, folder, "labels"), shares=SHARES)
+    posteriors = [F.col("posteriors")[i].alias(d) for i, d in enumerate(mixing.DOMAINS)]
+    return mix.select("doc_id", "n_tokens", *posteriors, "rate", "copies")
+
+
 @query
 def op2_suffix_automaton(spark: SparkSession, folder: str) -> DataFrame:
     found = decontam.find(read(spark, folder, "documents"), read(spark, folder, "benchmark"))

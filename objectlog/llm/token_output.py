@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -17,17 +18,19 @@ from .common import stored, utf8
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 24
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 450_000
 _MARK = "\x01"
 _SPLIT = 2_000
+_SIGNED = re.compile(rb"([^\x00-`{-\x7f]*[a-z])([!-&(-/:-@\[-`{-~]+)")
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
     """A tokenizer of the `tokenizers` library that never joins text across ASCII white space (lower-casing word BPE).
 
-    Words between white space are encoded once and kept. The store is emptied when it holds CACHED_WORDS words, so
-    memory is bounded whatever the vocabulary of the corpus; ids do not depend on it.
+    Words between white space are encoded once and kept. A full store of CACHED_WORDS words becomes the older one, from
+    which words in use return, so memory is bounded whatever the vocabulary of the corpus; ids do not depend on it.
+    Signs of ASCII after a letter start a piece of their own, so a new word such as `word,` is put together from two.
     """
 
     def __init__(self, path: str):
@@ -37,25 +40,44 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.mark = self._ids(_MARK)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _MARK.encode() not in w and b"<|" not in w]
-        for w in set(words).difference(plain):
-            self.known[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
+    def _learn(self, words: set[bytes]) -> None:
+        known, older = self.known, self.older
+        pieces: set[bytes] = set()
+        composed: list[tuple[bytes, bytes, bytes]] = []
+        for w in words:
+            if w in older:
+                known[w] = older[w]
+            elif parts := _SIGNED.fullmatch(w):
+                composed.append((w, parts[1], parts[2]))
+                pieces.update(parts.groups())
+            else:
+                pieces.add(w)
+        self._encode_new([w for w in pieces if w not in known])
+        for w, stem, signs in composed:
+            known[w] = known[stem] + known[signs]
+
+    def _encode_new(self, words: list[bytes]) -> None:
+        plain = []
+        for w in words:
+            if w in self.older:
+                self.known[w] = self.older[w]
+            elif _MARK.encode() in w or len(self.mark) != 1:
+                self.known[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
+            else:
+                plain.append(w)
+        width = self.kind.itemsize
         for at in range(0, len(plain), _SPLIT):
             part = plain[at : at + _SPLIT]
             ids = self._ids(f" {_MARK} ".join([w.decode("utf-8", "replace") for w in part]))
             ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            if len(self.mark) != 1 or len(ends) != len(part):  # the mark isn't one id of its own here
-                for w in part:
-                    self.known[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
-                continue
-            data, width, first = ids.tobytes(), self.kind.itemsize, 0
-            for w, end in zip(part, ends):
+            data, first = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
                 self.known[w] = data[first * width : end * width]
                 first = end + 1
 
@@ -64,13 +86,16 @@ class WordTokenizer:
         last = np.array([end], self.kind).tobytes()
         out = []
         for text in texts:
-            words = text.split()
+            if b"<|" in text:  # may hold the name of a special token, which is case-sensitive
+                out.append(self._ids(text.decode("utf-8", "replace")).tobytes() + last)
+                continue
+            words = text.lower().split()
             new = set(words).difference(self.known)
             if new:
                 if len(self.known) > CACHED_WORDS:
-                    self.known.clear()
+                    self.known, self.older = {}, self.known
                     new = set(words)
-                self._learn(list(new))
+                self._learn(new)
             out.append(b"".join(map(self.known.__getitem__, words)) + last)
         return out
 
