@@ -16,12 +16,17 @@ DOMAINS = ("good", "poor", "toxic")
 #: Labelled rows that the classifier is fitted on at most: those with the smallest hashes of their ids.
 FIT_ROWS = 20_000
 VOCABULARY = 512
-LEAST_DOCS = 5
-ROUNDS = 400
+LEAST_DOCS = 10
+#: A word must be this unevenly spread over the domains (a term of the chi-squared statistic) to become a feature.
+UNEVEN = 40.0
+ROUNDS = 500
 DECAY = 1e-4
 SEED = 7
-TOLERANCE = 1e-7
-STEPS = 500
+#: Pull of every rate towards 1. It makes the rates unique, keeps those of documents that are hardly of a domain in
+#: excess, and leaves a relative residual of RIDGE times how far a domain's rates are from 1.
+RIDGE = 0.05
+TOLERANCE = 1e-5
+STEPS = 200
 OWN = ("n_tokens", "posteriors", "rate", "copies", "_key", "_f")
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:!?'\"-()")
 _STYLE = 8
@@ -47,15 +52,17 @@ def style(text: bytes, words: list[bytes]) -> list[float]:
 
 
 class Classifier:
-    """Multinomial logistic regression over word presence and style; `None` weights: all texts are of the first domain."""
+    """Two logistic regressions, of low quality and of toxicity, over word presence and style.
 
-    def __init__(self, words: list[bytes], rows: list[tuple[list[int], list[float], int]], domains: int):
+    Toxic texts are toxic whatever their quality. Without rows there are no weights, and all texts are good.
+    """
+
+    def __init__(self, words: list[bytes], rows: list[tuple[list[int], list[float], list[int]]]):
         self.code = {w: i for i, w in enumerate(words)}
-        self.domains = domains
         self.weights = None
         if not rows:
             return
-        y = np.array([r[2] for r in rows])
+        goal = np.array([r[2] for r in rows], np.float32)
         form = np.array([r[1] for r in rows])
         self.mean, self.spread = form.mean(axis=0), form.std(axis=0) + 1e-6
         x = np.zeros((len(rows), len(words) + _STYLE + 1), np.float32)
@@ -63,88 +70,87 @@ class Classifier:
             x[i, present] = 1
         x[:, len(words) : -1] = (form - self.mean) / self.spread
         x[:, -1] = 1
-        # Nesterov's accelerated gradient; domains without a labelled row keep no probability.
-        seen = np.bincount(y, minlength=domains) > 0
-        goal = np.eye(domains, dtype=np.float32)[y]
-        w = np.zeros((x.shape[1], domains), np.float32)
-        before, step = w, 4.0 / float((x.astype(np.float64) ** 2).sum(axis=1).mean())
-        off = np.where(seen, 0, -1e9).astype(np.float32)
+        top = np.ones(x.shape[1], np.float32)
+        for _ in range(30):  # the largest eigenvalue of the second moments bounds the curvature
+            top = x.T @ (x @ top) / len(rows)
+            bound = float(np.linalg.norm(top))
+            top /= bound
+        step = 1.0 / (0.25 * bound + DECAY)
+        # Nesterov's accelerated gradient. A label that no row has keeps no probability.
+        w = before = np.zeros((x.shape[1], 2), np.float32)
         for t in range(ROUNDS):
             ahead = w + t / (t + 3) * (w - before)
-            p = _softmax(x @ ahead + off)
-            before, w = w, ahead - step * (x.T @ (p - goal) / len(rows) + DECAY * ahead)
-        self.weights, self.off = w, off
+            before, w = w, ahead - step * (x.T @ (_sigmoid(x @ ahead) - goal) / len(rows) + DECAY * ahead)
+        w[-1, goal.max(axis=0) == 0] = -1e9
+        self.weights = w
 
     def posteriors(self, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
-        """Domain probabilities and token counts (words between white space)."""
+        """Probabilities of DOMAINS and token counts (words between white space)."""
         tokens = [len(t.split()) for t in texts]
-        if self.weights is None:
-            return np.eye(self.domains)[np.zeros(len(texts), int)], tokens
-        size = len(self.code)
-        scores = np.zeros((len(texts), self.domains))
-        forms = np.zeros((len(texts), _STYLE))
-        for i, text in enumerate(texts):
-            words = words_of(text.lower())
-            forms[i] = style(text, words)
-            present = [self.code[w] for w in self.code.keys() & set(words)]
-            scores[i] = self.weights[present].sum(axis=0)
-        scores += (forms - self.mean) / self.spread @ self.weights[size:-1] + self.weights[-1] + self.off
-        return _softmax(scores), tokens
+        odds = np.zeros((len(texts), 2))
+        if self.weights is not None:
+            forms = np.zeros((len(texts), _STYLE))
+            for i, text in enumerate(texts):
+                words = words_of(text)
+                forms[i] = style(text, words)
+                present = [self.code[w] for w in self.code.keys() & set(words)]
+                odds[i] = self.weights[present].sum(axis=0)
+            odds = _sigmoid(odds + (forms - self.mean) / self.spread @ self.weights[len(self.code) : -1] + self.weights[-1])
+        poor, toxic = odds[:, 0], odds[:, 1]
+        return np.stack([(1 - toxic) * (1 - poor), (1 - toxic) * poor, toxic], axis=1), tokens
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """text, y of at most `rows` labelled documents: 2 toxic, else 1 of low quality, else 0.
+    """text, poor, toxic (0 or 1) of at most `rows` labelled documents.
 
-    Rows without quality or toxicity are not labelled. Of several labels of a document the worst counts.
+    Rows without an id, quality or toxicity are not labelled. Of several labels of a document the worst count.
     """
-    y = F.when(F.col("toxic") > 0, 2).when(F.col("quality") > 0, 0).otherwise(1)
     full = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
-    told = full.select("doc_id", y.alias("y")).groupBy("doc_id").agg(F.max("y").alias("y"))
+    told = full.groupBy("doc_id").agg(
+        F.max((F.col("quality") <= 0).cast("int")).alias("poor"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
+    )
     least = F.xxhash64(F.lit(SEED), "doc_id")
     return (
         docs.select("doc_id", "text").where("text IS NOT NULL").join(told, "doc_id")
-        .withColumn("_draw", least).orderBy("_draw", "doc_id").limit(rows).select("text", "y")
+        .withColumn("_draw", least).orderBy("_draw", "doc_id").limit(rows).select("text", "poor", "toxic")
     )
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
     """Fit the classifier on the bounded sample of `labelled`. Words are chosen by how unevenly domains use them."""
     sample = stored(labelled(docs, labels), "mixing-sample")
-    kinds = F.arrow_udf(lambda texts: pa.array([sorted(set(words_of(t.lower()))) for t in texts.to_pylist()], pa.list_(pa.binary())), "array<binary>")
-    sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(sizes.values())
-    counts = (
-        sample.select("y", F.explode(kinds(utf8("text"))).alias("word"))
-        .groupBy("word")
-        .agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("y") == d).cast("int")).alias(f"n{d}") for d in sizes])
-        .where(F.col("n") >= LEAST_DOCS)
+    kinds = F.arrow_udf(lambda texts: pa.array([sorted(set(words_of(t))) for t in texts.to_pylist()], pa.list_(pa.binary())), "array<binary>")
+    told = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("poor").alias("poor"), F.sum("toxic").alias("toxic")).first()
+    counts = sample.select("poor", "toxic", F.explode(kinds(utf8("text"))).alias("word")).groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("poor").alias("poor"), F.sum("toxic").alias("toxic")
     )
-    expected = {d: F.col("n") * (n / total) for d, n in sizes.items()}
-    uneven = [F.pow(F.col(f"n{d}") - e, 2) / e for d, e in expected.items()]
-    words = []
-    if uneven:
-        rank = F.greatest(*uneven) if len(uneven) > 1 else uneven[0]
-        words = [bytes(r[0]) for r in counts.orderBy(rank.desc(), "word").limit(VOCABULARY).select("word").collect()]
+    uneven = F.lit(0.0)
+    for kind in ("poor", "toxic"):
+        if told[kind]:
+            expected = F.col("n") * (told[kind] / told["n"])
+            uneven = F.greatest(uneven, F.pow(F.col(kind) - expected, 2) / expected)
+    chosen = counts.where((F.col("n") >= LEAST_DOCS) & (uneven >= UNEVEN)).orderBy(uneven.desc(), "word").limit(VOCABULARY)
+    words = [bytes(r["word"]) for r in chosen.select("word").collect()]
     code = {w: i for i, w in enumerate(words)}
 
     def features(texts: pa.Array) -> pa.Array:
         out = []
         for text in texts.to_pylist():
-            found = words_of(text.lower())
+            found = words_of(text)
             out.append({"present": sorted(code[w] for w in code.keys() & set(found)), "form": style(text, found)})
         return pa.array(out, pa.struct([("present", pa.list_(pa.int32())), ("form", pa.list_(pa.float64()))]))
 
     made = F.arrow_udf(features, "struct<present:array<int>, form:array<double>>")
     # At most FIT_ROWS short lists of numbers.
     rows = [
-        (r["f"]["present"], r["f"]["form"], r["y"]) for r in sample.select("y", made(utf8("text")).alias("f")).collect()
+        (r["f"]["present"], r["f"]["form"], [r["poor"], r["toxic"]])
+        for r in sample.select("poor", "toxic", made(utf8("text")).alias("f")).collect()
     ]
-    return Classifier(words, rows, len(DOMAINS))
+    return Classifier(words, rows)
 
 
 def _score(shared) -> Callable[[pa.Array], pa.Array]:
@@ -158,10 +164,10 @@ def _score(shared) -> Callable[[pa.Array], pa.Array]:
 
 
 def _rates(p: np.ndarray, history: list[list[float]]) -> np.ndarray:
-    """Rates after the gradient steps so far: each lowers a rate by what the domains' residuals say, never below 0."""
+    """Rates after the gradient steps so far: each moves a rate by what the domains' residuals say, never below 0."""
     rate = np.ones(len(p))
     for slope in history:
-        rate = np.maximum(0.0, rate - p @ slope)
+        rate = np.maximum(0.0, rate - (p @ slope + RIDGE * (rate - 1)) / (1 + RIDGE))
     return rate
 
 
@@ -190,9 +196,9 @@ def _expected(members: DataFrame, history: list[list[float]]) -> np.ndarray:
 def fit_rates(members: DataFrame, totals: np.ndarray, natural: np.ndarray) -> list[list[float]]:
     """The steps of a projected gradient descent from rate 1 for the rates r >= 0 of all rows (n, p) of `members`.
 
-    It minimises the sum over domains of (sum of n p r less the total)^2 over the domain's natural total. Rows are
-    weighted by their tokens, in which metric steps of size 1 are safe: the second moments of p, so weighted, have no
-    eigenvalue over 1. The rates themselves never leave the executors: a step is a few numbers for all rows, and a row's
+    It minimises the sum over domains of (sum of n p r less the total)^2 over the domain's natural total, plus RIDGE
+    times the sum of n (r - 1)^2. Rows are weighted by their tokens, in which metric steps of size 1 / (1 + RIDGE) are
+    safe: the second moments of p, so weighted, have no eigenvalue over 1. The rates themselves never leave the executors: a step is a few numbers for all rows, and a row's
     rate follows from its p and the steps so far. Each step costs one pass over the compact members.
     """
     history: list[list[float]] = []
@@ -202,7 +208,6 @@ def fit_rates(members: DataFrame, totals: np.ndarray, natural: np.ndarray) -> li
         slope = (now - totals) / own
         history.append(slope.tolist())
         after = _expected(members, history)
-        print(len(history), now / natural.sum(), flush=True)
         settled = np.abs(after - now).max() <= TOLERANCE * max(1.0, natural.sum())
         now = after
         if settled:
@@ -255,8 +260,9 @@ def mix(
     )
 
 
-def mixed(docs: DataFrame, labels: DataFrame, multiples: Mapping[str, float]) -> DataFrame:
-    """The documents as often as their copies say, in the columns of `docs`."""
+def mixed(docs: DataFrame, labels: DataFrame, multiples: Mapping[str, float], repeat: bool = True) -> DataFrame:
+    """The documents as often as their copies say (without `repeat` once at most), in the columns of `docs`."""
     found = mix(docs, labels, multiples=multiples).where("copies > 0")
-    again = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return again.select(*docs.columns)
+    if repeat:
+        found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return found.select(*docs.columns)

@@ -11,8 +11,8 @@ import zlib
 
 import numpy as np
 
-LANES = 256
-ROWS = 64
+LANES = 512
+ROWS = 128
 LOW = 31  # a state is at least 2**LOW between tokens
 
 

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from . import rans
 from .common import stored, utf8
 
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 17
 FILE_IDS = 1 << 24
 END_ID = 1
 CACHED_WORDS = 450_000
 _MARK = "\x01"
 _SPLIT = 2_000
+_PART = 4 << 20
 _SIGNED = re.compile(rb"([^\x00-`{-\x7f]*[a-z])([!-&(-/:-@\[-`{-~]+)")
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
@@ -83,21 +84,36 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Little-endian ids of each text, with the end id."""
-        last = np.array([end], self.kind).tobytes()
-        out = []
+        out: list[bytes] = []
+        part: list[bytes] = []
+        size = 0
         for text in texts:
-            if b"<|" in text:  # may hold the name of a special token, which is case-sensitive
-                out.append(self._ids(text.decode("utf-8", "replace")).tobytes() + last)
-                continue
-            words = text.lower().split()
-            new = set(words).difference(self.known)
-            if new:
-                if len(self.known) > CACHED_WORDS:
-                    self.known, self.older = {}, self.known
-                    new = set(words)
-                self._learn(new)
-            out.append(b"".join(map(self.known.__getitem__, words)) + last)
-        return out
+            part.append(text)
+            size += len(text)
+            if size > _PART:
+                out += self._encode_part(part)
+                part, size = [], 0
+        last = np.array([end], self.kind).tobytes()
+        return [ids + last for ids in out + self._encode_part(part)]
+
+    def _encode_part(self, texts: list[bytes]) -> list[bytes]:
+        # A text that may hold the name of a special token, which is case-sensitive, is encoded as it is.
+        words = [text.lower().split() if b"<|" not in text else [] for text in texts]
+        found = [list(map(self.known.get, w)) for w in words]
+        open_texts = [i for i, ids in enumerate(found) if None in ids]
+        new: set[bytes] = set()
+        for i in open_texts:
+            new.update([w for w, ids in zip(words[i], found[i]) if ids is None])
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        self._learn(new)
+        known = self.known
+        for i in open_texts:
+            found[i] = [known[w] if ids is None else ids for w, ids in zip(words[i], found[i])]
+        return [
+            self._ids(text.decode("utf-8", "replace")).tobytes() if b"<|" in text else b"".join(ids)
+            for text, ids in zip(texts, found)
+        ]
 
 
 def _tokenizer(path: str) -> WordTokenizer:
