@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import decontam, line_dedup, mixing, quality, sharding, simhash, token_output, url_filter, warc
+from . import decontam, html_text, line_dedup, mixing, quality, sharding, simhash, token_output, url_filter, warc
 from .common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,11 @@ def op7_rans(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.read_tokens(spark, path)
 
 
+@query
+def op8_boosted_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(read(spark, folder, "documents")).select(
