@@ -21,7 +21,7 @@ class Table:
 
     def __init__(self, ids: np.ndarray, counts: np.ndarray, bits: int | None = None):
         size = int(ids.max()) + 1 if len(ids) else 1
-        self.bits = bits or max(12, size.bit_length() + 4)
+        self.bits = bits or max(12, size.bit_length() + 2)
         whole = 1 << self.bits
         scaled = np.zeros(size, np.int64)
         if len(ids):
@@ -73,7 +73,7 @@ def decode(block: dict, table: Table, part: int | None = None) -> np.ndarray:
     n = block["n"]
     if not n:
         return np.zeros(0, np.uint32)
-    words = np.append(np.frombuffer(block["words"], "<u4"), np.uint32(0)).astype(np.uint64)
+    words = np.frombuffer(block["words"], "<u4").astype(np.uint64)
     states = np.frombuffer(block["states"], "<u8").reshape(-1, LANES).astype(np.uint64)
     at = np.array(block["places"], np.int64)
     stretches = np.arange(len(at))
@@ -81,20 +81,22 @@ def decode(block: dict, table: Table, part: int | None = None) -> np.ndarray:
         states, at, stretches = states[part : part + 1].copy(), at[part : part + 1], stretches[part : part + 1]
     shift, mask = np.uint64(table.bits), np.uint64((1 << table.bits) - 1)
     out = np.zeros((len(at), ROWS, LANES), np.uint32)
-    lanes = np.arange(LANES)
-    for r in range(ROWS):
-        live = ((stretches[:, None] * ROWS + r) * LANES + lanes[None, :]) < n
-        if not live.any():
-            break
+    rows = -(-n // LANES)
+    for r in range(min(ROWS, rows)):
         slot = states & mask
-        s = table.symbol[slot.astype(np.int64)]
+        s = table.symbol[slot.view(np.int64)]
         x = table.freq[s] * (states >> shift) + slot - table.first[s]
-        need = (x < np.uint64(1 << LOW)) & live
-        rank = np.cumsum(need, axis=1)
-        take = np.where(need, at[:, None] + rank - 1, len(words) - 1)
-        x = np.where(need, (x << np.uint64(32)) | words[take], x)
-        states = np.where(live, x, states)
-        at = at + rank[:, -1]
+        need = x < np.uint64(1 << LOW)
+        last = rows - 1 - r  # ROWS times the stretch that ends in this row, if one does
+        for k in np.flatnonzero(stretches * ROWS >= last):  # lanes without a token stay as they are
+            live = n - (rows - 1) * LANES if stretches[k] * ROWS == last else 0
+            x[k, live:] = states[k, live:]
+            need[k, live:] = False
+        taken = need.sum(axis=1)
+        places = np.repeat(at - np.cumsum(taken) + taken, taken) + np.arange(taken.sum())
+        x[need] = (x[need] << np.uint64(32)) | words[places]
+        states = x
+        at = at + taken
         out[:, r, :] = s
     flat = out.reshape(-1)
     whole = n if part is None else min(n - part * ROWS * LANES, ROWS * LANES)

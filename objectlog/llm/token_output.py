@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -45,7 +46,7 @@ class WordTokenizer:
         self.mark = self._ids(_MARK)
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def _learn(self, words: set[bytes]) -> None:
         known, older = self.known, self.older
@@ -96,6 +97,14 @@ class WordTokenizer:
         last = np.array([end], self.kind).tobytes()
         return [ids + last for ids in out + self._encode_part(part)]
 
+    def encode_quietly(self, texts: list[bytes], end: int) -> list[bytes]:
+        """`encode` without cyclic garbage collection, which walks the millions of words held here and finds nothing."""
+        gc.disable()
+        try:
+            return self.encode(texts, end)
+        finally:
+            gc.enable()
+
     def _encode_part(self, texts: list[bytes]) -> list[bytes]:
         # A text that may hold the name of a special token, which is case-sensitive, is encoded as it is.
         words = [text.lower().split() if b"<|" not in text else [] for text in texts]
@@ -128,7 +137,7 @@ def _ids(path: str, end: int) -> Callable[[pa.Array], pa.Array]:
         from zstandard import ZstdCompressor
 
         pack = ZstdCompressor(level=1).compress
-        return pa.array([pack(x) for x in _tokenizer(path).encode([t or b"" for t in texts.to_pylist()], end)], pa.binary())
+        return pa.array([pack(x) for x in _tokenizer(path).encode_quietly([t or b"" for t in texts.to_pylist()], end)], pa.binary())
 
     return ids
 
