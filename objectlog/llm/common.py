@@ -43,6 +43,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def same(df: DataFrame) -> list[Column]:
+    """All columns of `df` by their exact names."""
+    return [col(c) for c in df.columns]
+
+
 def utf8(name: str) -> Column:
     """The UTF-8 bytes of a text column; null stays null."""
     return F.col(name).cast("binary")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8, without
+from .common import same, stored, utf8, without
 
 WINDOW = 10
 BLOCK_WORDS = 50_000
@@ -243,7 +243,7 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
     found = F.col("_found")
     hit = F.aggregate(found["spans"], F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return rows.select(
-        *kept.columns, found["n_words"].alias("n_words"), hit.alias("n_hit"), found["spans"].alias("spans"),
+        *same(kept), found["n_words"].alias("n_words"), hit.alias("n_hit"), found["spans"].alias("spans"),
         found["items"].alias("item_ids"), found["longest"].alias("longest"),
         found["clean"].cast("string").alias("clean_text"),
     )
@@ -254,7 +254,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, max_share: float = MAX_SHAR
     found = find(docs, items, **how).where(F.col("n_hit") <= max_share * F.col("n_words"))
     text = F.col("clean_text")
     new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return found.withColumns(new).select(*docs.columns)
+    return found.withColumns(new).select(*same(docs))
 
 
 ORACLE = r"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8, without
+from .common import same, stored, utf8, without
 from .decontam import words_of
 
 DOMAINS = ("good", "poor", "toxic")
@@ -118,11 +118,13 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
     told = full.groupBy("doc_id").agg(
         F.max((F.col("quality") <= 0).cast("int")).alias("poor"), F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
     )
-    least = F.xxhash64(F.lit(SEED), "doc_id")
-    return (
-        docs.select("doc_id", "text").where("text IS NOT NULL").join(told, "doc_id")
-        .withColumn("_draw", least).orderBy("_draw", "doc_id").limit(rows).select("text", "poor", "toxic")
+    # The draw moves ids only; what it leaves has `rows` rows at most.
+    drawn = (
+        docs.where("text IS NOT NULL").select("doc_id").join(told, "doc_id").dropDuplicates(["doc_id"])
+        .orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
     )
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id")
+    return texts.groupBy("doc_id").agg(F.min_by(F.struct("text", "poor", "toxic"), F.md5("text")).alias("x")).select("x.*")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
@@ -270,4 +272,4 @@ def mixed(docs: DataFrame, labels: DataFrame, multiples: Mapping[str, float], re
     found = mix(docs, labels, multiples=multiples).where("copies > 0")
     if repeat:
         found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return found.select(*docs.columns)
+    return found.select(*same(docs))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8, without
+from .common import same, stored, utf8, without
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -168,7 +168,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     judged = judge(docs).where("kept")
     text = F.col("clean_text")
     new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
-    return judged.withColumns(new).select(*docs.columns)
+    return judged.withColumns(new).select(*same(docs))
 
 
 ORACLE = r"""

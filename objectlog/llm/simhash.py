@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import stars
-from .common import stored, utf8
+from .common import same, stored, utf8
 
 SHINGLE = 4
 DISTANCE = 4
@@ -71,7 +71,7 @@ def close_pairs(prints: DataFrame, distance: int = DISTANCE, segments: int = SEG
         own = F.shiftrightunsigned("_fp", at).bitwiseAND(F.lit((1 << width) - 1))
         value.append(own)
         ball = F.array(*[F.lit(m).cast("long") for m in _ball(width, distance // segments)])
-        asked.append(F.transform(ball, lambda m, own=own: own.bitwiseXOR(m)))
+        asked.append(F.transform(ball, own.bitwiseXOR))
     table = prints.select(F.col("_fp").alias("v"), F.posexplode(F.array(*value)).alias("segment", "value"))
     questions = prints.select(F.col("_fp").alias("u"), F.posexplode(F.array(*asked)).alias("segment", "values")).select(
         "u", "segment", F.explode("values").alias("value")
@@ -119,5 +119,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = clusters(docs).groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("x"))
     chosen = first.select(F.col("group").alias("_group"), F.col("x.doc_id").alias("_id"), F.col("x._key").alias("_text"))
     rows = docs.withColumn("_key", F.md5(F.coalesce(utf8("text"), F.lit(b""))))
-    same = F.col("_key").eqNullSafe(F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return rows.join(chosen, same).dropDuplicates(["_group"]).select(*docs.columns)
+    match = F.col("_key").eqNullSafe(F.col("_text")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return rows.join(chosen, match).dropDuplicates(["_group"]).select(*same(docs))

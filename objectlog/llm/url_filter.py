@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stored, without
+from .common import lower_ascii, same, stored, without
 
 ALLOW, BLOCK = "allow", "block"
 RULES = (
@@ -130,7 +130,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     threshold = _threshold(scores)
     told = F.when(F.col("score") >= threshold, F.lit(ALLOW)).otherwise(F.lit(BLOCK))
     return rows.join(scores.select("_url", "score"), "_url").select(
-        *kept.columns, "host", "path", F.col("_rule.rule").alias("rule"), "score",
+        *same(kept), "host", "path", F.col("_rule.rule").alias("rule"), "score",
         F.coalesce(label, told).alias("verdict"),
     )
 
