@@ -19,28 +19,15 @@ from ..session import cut_lineage
 # other still fall into some sixty of them.
 _PER_DOUBLING = 4096
 _CHUNK = 1_000_000
-# Keys up to this size are sorted in one task; larger ones are split by day. The
-# set of split keys is broadcast, and has fewer than HOT_KEYS members.
-HOT_ROWS = 100_000
-HOT_KEYS = 10_000
-
 
 def _bucket(value: Column) -> Column:
     size = F.floor(F.log2(F.abs(value)) * _PER_DOUBLING) + 10_000_000
     return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("int")
 
 
-def with_day_of_hot(df: DataFrame, hot: DataFrame, key: str, time: str) -> DataFrame:
-    """Adds `_day`: the calendar day for rows of hot keys, null for all others."""
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    return marked.withColumn("_day", F.when(F.col("_hot"), F.date_trunc("day", F.col(time)))).drop("_hot")
-
-
-def hot_keys(df: DataFrame, key: str, least: int = HOT_ROWS) -> DataFrame:
-    """Keys with over `least` rows and over 1/HOT_KEYS of all rows: under HOT_KEYS of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.where((F.col("_n") > least) & (F.col("_n") * HOT_KEYS > total)).select(key)
+def day_of(time: str) -> Column:
+    """The calendar day of a time; rows without a time lie in a day before all others."""
+    return F.coalesce(F.date_trunc("day", F.col(time)).cast("timestamp_ntz"), F.lit("0001-01-01").cast("timestamp_ntz"))
 
 
 def fold(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
@@ -159,32 +146,23 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "row_i
 
 
 def lagged(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    time: str,
-    k: int,
-    *,
-    base: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    df: DataFrame, key: str, order: Sequence[str], time: str, k: int, *, base: DataFrame | None = None
 ) -> DataFrame:
     """Adds `lag_1..lag_k`: the `time` of the 1st..k-th row before, per key.
 
-    Keys with very many rows are windowed per (key, day); what lies before a day's
-    first rows comes from a small side table with the last k times of each day.
-    `base` may give the same (key, time) rows from an earlier, cheaper step.
+    Rows are windowed per (key, day), whatever their number; what lies before a
+    day's first rows comes from a small side table with the last k times of each
+    day. `order` starts with `time`. `base` may give the same (key, time) rows from
+    an earlier, cheaper step.
     """
-    base = (df if base is None else base).select(key, time)
-    hot = hot_keys(base, key, hot_rows)
-    df = with_day_of_hot(df, hot, key, time)
+    days = (df if base is None else base).select(key, time).withColumn("_day", day_of(time))
     inner = Window.partitionBy(key, "_day").orderBy(*order)
-    local = df.withColumns(
+    local = df.withColumn("_day", day_of(time)).withColumns(
         {**{f"_lag_{i}": F.lag(time, i).over(inner) for i in range(1, k + 1)}, "_head": F.row_number().over(inner)}
     )
-    days = base.join(F.broadcast(hot), key).withColumn("_day", F.date_trunc("day", F.col(time)))
     joined = local.join(_times_before(days, key, time, k), [key, "_day"], "left")
     return joined.select(
-        *[c for c in df.columns if c != "_day"],
+        *df.columns,
         *[
             F.when(F.col("_head") > i, F.col(f"_lag_{i}"))
             .otherwise(F.get("_before", F.lit(i) - F.col("_head")))

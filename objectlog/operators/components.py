@@ -10,8 +10,6 @@ from ..functions.ordered import fold
 from ..model import ObjectLog
 from ..session import cut_lineage
 
-MAX_ROUNDS = 100
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the smallest node around it."""
@@ -39,18 +37,18 @@ def _state(edges: DataFrame) -> tuple:
 def stars(edges: DataFrame) -> DataFrame:
     """(u, v) pairs, u > v, to (node, smallest node of its component).
 
-    Alternates the two star steps until the edge set stops changing. Each round
+    Alternates the two star steps until the edge set stops changing, which it does,
+    as every round with a change moves some node to a smaller one. Each round
     is checkpointed, so the plan stays short and a lost executor costs one round.
     """
     edges = cut_lineage(edges)
     state = _state(edges)
-    for _ in range(MAX_ROUNDS):
+    while True:
         edges = cut_lineage(_small_star(_large_star(edges)))
         after = _state(edges)
         if after == state:
             return edges.select(F.col("u").alias("object_id"), F.col("v").alias("component"))
         state = after
-    raise RuntimeError("Components did not settle.")
 
 
 def object_components(log: ObjectLog) -> DataFrame:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import quantiles
+from ..functions.ordered import number_rows, quantiles
 from ..session import cut_lineage
 
 _KEYS = ["split", "time"]
@@ -117,40 +116,30 @@ def bootstrap(
     *,
     classes: Sequence[int] | None = None,
     resamples: int = 500,
-    cap: int = 10_000,
     alpha: float = 0.95,
     seed: int = 42,
     splits: Sequence[str] = ("train", "val", "test"),
 ) -> DataFrame:
-    """split, statistic, point, lower, upper by resampling with Poisson weights.
+    """split, statistic, point, lower, upper by resampling n of n labels of a split with replacement.
 
-    Statistics: mean, std, q25, q50, q75, or the share of each class. Splits with
-    more than `cap` rows are sampled down to the first `cap` in hash order, a top-k
-    per task before any shuffle. Every resample draws one weight per sampled row
-    from a hashed uniform number.
+    Statistics: mean, std, q25, q50, q75, or the share of each class. The labels of a split are numbered by value; the
+    i-th draw of a replicate takes the label whose number is an md5 of (seed, split, replicate, i) modulo n. Draws fold
+    to (split, replicate, value) where they are made; no label is left out.
     """
-    labels = cut_lineage(labels.select("split", "time", *keys, F.col("target").cast("double").alias("target")))
-    code = F.xxhash64(F.lit(seed), "time", *keys)
-    sample = reduce(
-        DataFrame.unionByName,
-        [
-            labels.where(F.col("split") == split).orderBy(code, "time", *keys).limit(cap).select("split", code.alias("_code"), "target")
-            for split in splits
-        ],
-    )
-    # At most `cap` rows per split are left.
-    order = Window.partitionBy("split").orderBy("_code", "target")
-    sample = sample.withColumn("_rank", F.row_number().over(order)).drop("_code")
-    drawn = sample.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples))))
-    bits = F.xxhash64(F.lit(seed), "split", "_rank", "replicate").bitwiseAND(F.lit((1 << 52) - 1))
-    uniform = bits / F.lit(float(1 << 52))
-    # Inverse distribution function of Poisson(1); replicate 0 is the sample itself.
-    weight, term, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 16):
-        total += term
-        weight = weight + F.when(uniform >= total, 1).otherwise(0)
-        term /= k
-    drawn = drawn.withColumn("w", F.when(F.col("replicate") == 0, 1).otherwise(weight))
+    wanted = labels.where(F.col("split").isin(list(splits))).select("split", F.col("target").cast("double").alias("target"))
+    numbered = cut_lineage(number_rows(wanted, ["split", "target"], "_number"))
+    sizes = numbered.groupBy("split").agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("_all"))
+    # As many rows as splits.
+    sample = numbered.join(F.broadcast(sizes), "split").withColumn("_rank", (F.col("_number") - F.col("_first")).cast("long"))
+    draws = sample.select("split", "_rank", "_all").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    code = F.md5(F.concat_ws("|", F.lit(str(seed)), "split", "replicate", "_rank"))
+    number = F.conv(F.substring(code, 1, 12), 16, 10).cast("long")
+    picked = draws.select("split", "replicate", F.pmod(number, F.col("_all")).alias("_rank"))
+    # Draws of one label meet first, so that the join carries a label's row once for each replicate at most.
+    folded = picked.groupBy("split", "replicate", "_rank").agg(F.count(F.lit(1)).alias("w"))
+    drawn = folded.join(sample.select("split", "_rank", "target"), ["split", "_rank"]).select("split", "replicate", "target", "w")
+    itself = sample.select("split", F.lit(0).alias("replicate"), "target", F.lit(1).cast("long").alias("w"))
+    drawn = drawn.unionByName(itself)
     n, value = F.col("_n"), F.col("_value")
     size = F.sum(n)
     if classes is None:

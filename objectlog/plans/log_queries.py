@@ -755,10 +755,20 @@ def _(spark, folder):
     return _rows(transform.project(orders(spark, folder), "supplier"), "event", "object", "e2o")
 
 
+@query(
+    "event_objects",
+    on_orders("""
+SELECT event_id, ROW_NUMBER() OVER (PARTITION BY event_id ORDER BY object_id) - 1 AS position, object_id FROM o_e2o
+"""),
+)
+def _(spark, folder):
+    return transform.event_objects(orders(spark, folder))
+
+
 @query(
     "nest_events",
     on_orders("""
-SELECT e.event_id, e.type, e.time, 0 AS part, 1 AS parts, COALESCE(string_agg(l.object_id, ',' ORDER BY l.object_id), '') AS objects
+SELECT e.event_id, e.type, e.time, COALESCE(string_agg(l.object_id, ',' ORDER BY l.object_id), '') AS objects
 FROM o_event e LEFT JOIN o_e2o l ON l.event_id = e.event_id GROUP BY ALL
 """),
 )

@@ -216,12 +216,49 @@ def _(spark, folder):
     return stats.entity_overlap(splits["train"], splits["test"], KEYS)
 
 
-@query("bootstrap_regression")
+_DRAWS = """
+, base AS (
+  SELECT split, CAST(target AS DOUBLE) AS target, ROW_NUMBER() OVER (PARTITION BY split ORDER BY target) - 1 AS rank,
+    COUNT(*) OVER (PARTITION BY split) AS n FROM {t}),
+draw AS (
+  SELECT split, r AS replicate,
+    CAST('0x' || substr(md5('42|' || split || '|' || r || '|' || rank), 1, 12) AS BIGINT) % n AS rank
+  FROM base, (SELECT unnest(range(1, 501)) AS r)),
+val AS (
+  SELECT d.split, d.replicate, b.target FROM draw d JOIN base b ON b.split = d.split AND b.rank = d.rank
+  UNION ALL SELECT split, 0, target FROM base),
+"""
+_INTERVALS = """
+SELECT split, statistic, ROUND(MAX(value) FILTER (replicate = 0), 6) AS point,
+  ROUND(quantile_cont(value, 0.025) FILTER (replicate > 0), 6) AS lower,
+  ROUND(quantile_cont(value, 0.975) FILTER (replicate > 0), 6) AS upper
+FROM stat GROUP BY ALL
+"""
+
+
+@query(
+    "bootstrap_regression",
+    on_clicks(CLICK_SPLITS + _DRAWS.format(t="lab") + """
+wide AS (
+  SELECT split, replicate, AVG(target) AS mean, STDDEV_POP(target) AS std, quantile_cont(target, 0.25) AS q25,
+    quantile_cont(target, 0.5) AS q50, quantile_cont(target, 0.75) AS q75 FROM val GROUP BY ALL),
+stat AS (
+  SELECT split, replicate, unnest(['mean', 'std', 'q25', 'q50', 'q75']) AS statistic,
+    unnest([mean, std, q25, q50, q75]) AS value FROM wide)
+""" + _INTERVALS),
+)
 def _(spark, folder):
     return stats.bootstrap(labels.stack_splits(click_splits(spark, folder)), KEYS)
 
 
-@query("bootstrap_classes")
+@query(
+    "bootstrap_classes",
+    on_clicks(CLASS_LABELS + _DRAWS.format(t="cls") + """
+stat AS (
+  SELECT split, replicate, 'class ' || c AS statistic, AVG(CASE WHEN target = c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS value
+  FROM val, (SELECT unnest([0, 1, 2]) AS c) GROUP BY ALL)
+""" + _INTERVALS),
+)
 def _(spark, folder):
     return stats.bootstrap(labels.stack_splits(class_splits(spark, folder)), KEYS, classes=(0, 1, 2))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     """A folder all executors reach, for checkpoints and written tables.
 
     It lies in the one named by `spark.checkpoint.dir`. A scratch folder is used
-    only when the session names none (tests, laptops).
+    only in local mode, where the session names none (tests, laptops); on a cluster
+    a folder must be named, as other machines do not see a local one.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("Name a shared folder in spark.checkpoint.dir.")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-"))
     return context.getCheckpointDir()
 

@@ -46,10 +46,8 @@ def test_lags_cross_days(spark):
     rng = random.Random(4)
     rows = [(k, START + HOUR * rng.randrange(400), f"e{i:04d}") for i, k in enumerate(["hot"] * 300 + ["cold"] * 20)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz, e string")
-    got = {r.e: (r.lag_1, r.lag_2, r.lag_3) for r in lagged(df, "k", ["t", "e"], "t", 3, hot_rows=50).collect()}
-    one = {r.e: r.lag_1 for r in lagged(df, "k", ["t", "e"], "t", 1, hot_rows=0).collect()}
-    plain = {r.e: r.lag_1 for r in lagged(df, "k", ["t", "e"], "t", 1).collect()}
-    assert plain == one
+    got = {r.e: (r.lag_1, r.lag_2, r.lag_3) for r in lagged(df, "k", ["t", "e"], "t", 3).collect()}
+    one = {r.e: r.lag_1 for r in lagged(df, "k", ["t", "e"], "t", 1).collect()}
     for key in ("hot", "cold"):
         own = sorted((t, e) for k, t, e in rows if k == key)
         for i, (_t, e) in enumerate(own):
@@ -70,10 +68,17 @@ def test_values_carry_over_days(spark):
         for _k, t, i, va, vb in sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2])):
             a, b = va if va is not None else a, vb if vb is not None else b
             want[i] = (a, b)
-    for hot_rows in (0, 50, 10_000):
-        out = fill_forward(df, "k", ["t", "i"], "t", ["a", "b"], hot_rows=hot_rows)
-        assert out.columns == df.columns
-        assert {r.i: (r.a, r.b) for r in out.collect()} == want
+    out = fill_forward(df, "k", ["t", "i"], "t", ["a", "b"])
+    assert out.columns == df.columns
+    assert {r.i: (r.a, r.b) for r in out.collect()} == want
+
+
+def test_values_without_a_time_come_first(spark):
+    rows = [("k", None, "x"), *[("k", START + HOUR * 24 * d, None) for d in range(3)]]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, a string")
+    assert [r.a for r in fill_forward(df, "k", ["t"], "t", ["a"]).collect()] == ["x"] * 4
+    lags = {r.t: r.lag_1 for r in lagged(df, "k", ["t"], "t", 1).collect()}
+    assert lags == {None: None, START: None, START + HOUR * 24: START, START + HOUR * 48: START + HOUR * 24}
 
 
 def test_row_numbers_are_contiguous(spark):

@@ -132,14 +132,13 @@ def test_project_drops_unlinked(make_log):
     assert [r.object_id for r in kept.e2o.collect()] == ["a"]
 
 
-def test_nest_spreads_long_lists(make_log):
-    names = [f"o{i}" for i in range(50)]
-    log = make_log({n: "T" for n in names}, [("big", "x", START, names), ("none", "x", START, [])])
-    rows = transform.nest(log, max_list=10).collect()
-    big = [r for r in rows if r.event_id == "big"]
-    assert {r.parts for r in big} == {5} and len(big) > 1
-    assert sorted(o for r in big for o in r.object_ids) == sorted(names)
-    assert [(r.part, r.parts, r.object_ids) for r in rows if r.event_id == "none"] == [(0, 1, [])]
+def test_nest_keeps_its_shape(make_log):
+    names = [f"o{i:02d}" for i in range(50)]
+    log = make_log({n: "T" for n in names}, [("big", "x", START, names[::-1]), ("none", "x", START, [])])
+    assert {r.event_id: r.object_ids for r in transform.nest(log).collect()} == {"big": names, "none": []}
+    assert {(r.event_id, r.position): r.object_id for r in transform.event_objects(log).collect()} == {
+        ("big", i): n for i, n in enumerate(names)
+    }
 
 
 def test_validation_names_broken_rules(make_log, spark):
