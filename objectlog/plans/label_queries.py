@@ -17,10 +17,9 @@ from .views import on_clicks, on_orders
 
 ORDERS_AGE = 30 * DAY
 TYPES = ("view", "click", "purchase", "signup", "error")
-# Every three days: pairs multiply quickly.
-PAIR_GRID = Grid.regular(datetime(2024, 1, 4), 3 * DAY, 9)
+PAIR_GRID = Grid.regular(datetime(2024, 1, 4), DAY, 25)
 _PAIR_TIMES = """
-, p_grid AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-04', TIMESTAMP '2024-01-28', INTERVAL 3 DAY)) AS t)
+, p_grid AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-04', TIMESTAMP '2024-01-28', INTERVAL 1 DAY)) AS t)
 """
 _UNEVEN = (
     datetime(2024, 1, 3),
