@@ -746,9 +746,9 @@ def _(spark, folder):
     "project_to_type",
     on_orders("""
 SELECT 'event' AS "table", event_id AS id, type AS ref, time FROM o_event
-  WHERE event_id IN (SELECT event_id FROM o_link WHERE object_type = 'supplier')
+  WHERE event_id IN (SELECT event_id FROM o_e2o WHERE starts_with(object_id, 'supp'))
 UNION ALL SELECT 'object', object_id, type, time FROM o_object WHERE type = 'supplier'
-UNION ALL SELECT 'e2o', event_id, object_id, time FROM o_link WHERE object_type = 'supplier'
+UNION ALL SELECT 'e2o', event_id, object_id, time FROM o_e2o WHERE starts_with(object_id, 'supp')
 """),
 )
 def _(spark, folder):
@@ -777,42 +777,53 @@ def _(spark, folder):
     return nested.withColumn("objects", F.concat_ws(",", "object_ids")).drop("object_ids")
 
 
-def _recent_orders(spark: SparkSession, folder: str) -> ObjectLog:
-    """The last week of the orders log, with all objects kept."""
+def _customer_orders(spark: SparkSession, folder: str) -> ObjectLog:
+    """The orders log with customers and orders only: a component for each customer."""
     log = orders(spark, folder)
-    last = log.event.agg(F.max("time")).first()[0]
-    cut = transform.keep_events(log, F.col("time") >= F.lit(last).cast("timestamp_ntz") - F.expr("INTERVAL 7 DAYS"))
-    orphan = log.event.where(F.col("time") < F.lit(datetime(1995, 1, 4)).cast("timestamp_ntz"))
-    return cut.replace(event=cut.event.unionByName(orphan), object=log.object)
-
-
-_RECENT = """
-, r_event AS (SELECT * FROM o_event WHERE time >= (SELECT MAX(time) FROM o_event) - INTERVAL 7 DAY),
-r_all AS (SELECT * FROM r_event UNION ALL SELECT * FROM o_event WHERE time < TIMESTAMP '1995-01-04'),
-r_e2o AS (SELECT l.event_id, l.object_id FROM o_e2o l JOIN r_event e ON e.event_id = l.event_id),
-hub AS (SELECT event_id, MIN(object_id) AS hub FROM r_e2o GROUP BY 1),
-edge AS (
-  SELECT l.object_id AS a, h.hub AS b FROM r_e2o l JOIN hub h ON h.event_id = l.event_id
-  UNION SELECT h.hub, l.object_id FROM r_e2o l JOIN hub h ON h.event_id = l.event_id),
+    kinds = ["customer", "order"]
+    return log.replace(
+        object=log.object.where(F.col("type").isin(kinds)), e2o=log.e2o.where(F.col("qualifier").isin(kinds))
+    )
+
+
+_REACH = """
+, hub AS (SELECT event_id, MIN(object_id) AS hub FROM {links} GROUP BY 1),
+edge AS MATERIALIZED (
+  SELECT l.object_id AS a, h.hub AS b FROM {links} l JOIN hub h ON h.event_id = l.event_id WHERE l.object_id <> h.hub
+  UNION SELECT h.hub, l.object_id FROM {links} l JOIN hub h ON h.event_id = l.event_id WHERE l.object_id <> h.hub),
 reach AS (
-  WITH RECURSIVE walk(node, seen) AS (
-    SELECT a, a FROM edge UNION SELECT w.node, e.b FROM walk w JOIN edge e ON e.a = w.seen)
-  SELECT node, MIN(seen) AS component FROM walk GROUP BY 1),
-member AS (SELECT o.object_id, o.type, COALESCE(r.component, o.object_id) AS component FROM o_object o LEFT JOIN reach r ON r.node = o.object_id),
+  WITH RECURSIVE walk(node, component) USING KEY (node) AS (
+    SELECT DISTINCT a, a FROM edge
+    UNION
+    SELECT e.b, MIN(w.component) FROM walk w JOIN edge e ON e.a = w.node JOIN recurring.walk r ON r.node = e.b
+    WHERE w.component < r.component GROUP BY e.b)
+  SELECT node, component FROM walk),
+member AS (
+  SELECT o.object_id, o.type, COALESCE(r.component, o.object_id) AS component FROM {objects} o LEFT JOIN reach r ON r.node = o.object_id),
 placed AS (
   SELECT e.event_id, e.time, COALESCE(m.component, CONCAT('event:', e.event_id)) AS component
-  FROM r_all e LEFT JOIN hub h ON h.event_id = e.event_id LEFT JOIN member m ON m.object_id = h.hub)
+  FROM o_event e LEFT JOIN hub h ON h.event_id = e.event_id LEFT JOIN member m ON m.object_id = h.hub)
 """
+_WHOLE = _REACH.format(links="o_e2o", objects="o_object")
+_CUSTOMERS = """
+, s_e2o AS (SELECT * FROM o_e2o WHERE qualifier IN ('customer', 'order')),
+s_object AS (SELECT * FROM o_object WHERE type IN ('customer', 'order'))
+""" + _REACH.format(links="s_e2o", objects="s_object")
 
 
-@query("connected_components", on_orders(_RECENT + "SELECT object_id, component FROM member"))
+@query("connected_components", on_orders(_WHOLE + "SELECT object_id, component FROM member"))
 def _(spark, folder):
-    return components.object_components(_recent_orders(spark, folder))
+    return components.object_components(orders(spark, folder))
 
 
-@query("event_components", on_orders(_RECENT + "SELECT event_id, component FROM placed"))
+@query("customer_components", on_orders(_CUSTOMERS + "SELECT object_id, component FROM member"))
 def _(spark, folder):
-    return components.event_components(_recent_orders(spark, folder))
+    return components.object_components(_customer_orders(spark, folder))
+
+
+@query("event_components", on_orders(_CUSTOMERS + "SELECT event_id, component FROM placed"))
+def _(spark, folder):
+    return components.event_components(_customer_orders(spark, folder))
 
 
 _STATS = """
@@ -827,26 +838,25 @@ _STATS = """
 """
 
 
-@query("component_stats", on_orders(_RECENT + _STATS + "SELECT * FROM stats"))
+@query("component_stats", on_orders(_CUSTOMERS + _STATS + "SELECT * FROM stats"))
 def _(spark, folder):
-    return components.component_stats(_recent_orders(spark, folder)).drop("object_type_mix")
+    return components.component_stats(_customer_orders(spark, folder)).drop("object_type_mix")
 
 
 @query(
     "component_type_mix",
-    on_orders(_RECENT + "SELECT component, type, COUNT(*) AS n FROM member GROUP BY ALL"),
+    on_orders(_CUSTOMERS + "SELECT component, type, COUNT(*) AS n FROM member GROUP BY ALL"),
 )
 def _(spark, folder):
-    stats = components.component_stats(_recent_orders(spark, folder))
+    stats = components.component_stats(_customer_orders(spark, folder))
     return stats.select("component", F.explode("object_type_mix").alias("type", "n"))
 
 
 @query(
     "largest_component",
-    on_orders("""
-SELECT 'cust0' AS component, COUNT(*) AS objects, (SELECT COUNT(*) FROM o_event) AS events,
-  1.0::DOUBLE AS object_share, 1.0::DOUBLE AS event_share
-FROM o_object
+    on_orders(_WHOLE + _STATS + """
+SELECT component, objects, events, objects / SUM(objects) OVER () AS object_share, events / SUM(events) OVER () AS event_share
+FROM stats ORDER BY objects DESC, events DESC, component DESC LIMIT 1
 """),
 )
 def _(spark, folder):
