@@ -255,8 +255,9 @@ def _facts(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
 
 def _frequencies(spark: SparkSession, path: str):
     """The shared table, broadcast: as many rows as the vocabulary has ids at most."""
-    table = spark.read.schema("id bigint, n bigint").parquet(f"{path}/table").orderBy("id").toPandas()
-    return spark.sparkContext.broadcast((table["id"].to_numpy(), table["n"].to_numpy()))
+    rows = sorted(spark.read.schema("id bigint, n bigint").parquet(f"{path}/table").collect())
+    ids, counts = (np.array(c, np.int64) for c in (zip(*rows) if rows else ((), ())))
+    return spark.sparkContext.broadcast((ids, counts))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
