@@ -238,7 +238,8 @@ def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
             rows = stored(rows, "decontam")
             shared.destroy()
         shared = spark.sparkContext.broadcast(Automaton(block, window))
-        match = F.arrow_udf(_matcher(shared), f"struct<{_FOUND}>")
+        # A filter on the result must not work it out a second time.
+        match = F.arrow_udf(_matcher(shared), f"struct<{_FOUND}>").asNondeterministic()
         rows = rows.withColumn("_found", match(utf8("text"), F.col("_found")))
     found = F.col("_found")
     hit = F.aggregate(found["spans"], F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
