@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import same, stored, utf8, without
 
 MIN_WORDS = 20
@@ -79,7 +80,11 @@ def _facts(texts: pa.Array) -> pa.Array:
 
 
 def judge(
-    docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE
+    docs: DataFrame,
+    line_docs: int = LINE_DOCS,
+    line_share: float = LINE_SHARE,
+    left_share: float = LEFT_SHARE,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """All rows of `docs` with the base counts, base_failed, left_words, clean_text and kept.
 
@@ -92,6 +97,9 @@ def judge(
     that leaves the lines of a large group of near-copies alone. Such lines leave clean_text; left_words counts the
     words that stay, and a document with less than `left_share` of its words left is rejected.
 
+    With `copies` (id, component, as `near_copies.components` has them) a family is such a component instead, and the
+    families alone decide: shared lines can't make one family of documents that are no near-copies.
+
     A null text has no words (base_failed) and a null clean_text; null sources form one host. Repeated rows get equal
     verdicts. An empty table gives an empty one. Input columns named like a result column are replaced by it.
     """
@@ -112,14 +120,22 @@ def judge(
     )
     low, second = F.col("own")[0], F.get("own", F.lit(1))
     family = F.when(F.col("line") != low, low).otherwise(F.coalesce(second, low))
+    spread = 2 * F.col("families") >= F.col("with_line")
+    counted = lines
+    if copies is not None:
+        # As text, a key and a component never meet.
+        family, spread = F.coalesce(F.col("component").cast("string"), "_key"), F.lit(True)
+        ids = docs.select(key.alias("_key"), near_copies.text_id().alias("id")).distinct().join(copies, "id")
+        placed = texts.select("_host", "_key", "lines").join(ids.select("_key", "component"), "_key", "left")
+        counted = placed.select("_host", "_key", "component", F.explode(ours).alias("line"))
     hosts = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("texts"))
     often = (
-        lines.select("_host", "line", family.alias("family"))
+        counted.select("_host", "line", family.alias("family"))
         .groupBy("_host", "line", "family")
         .agg(F.count(F.lit(1)).alias("n"))
         .groupBy("_host", "line")
         .agg(F.count(F.lit(1)).alias("families"), F.sum("n").alias("with_line"))
-        .where((F.col("families") > line_docs) & (2 * F.col("families") >= F.col("with_line")))
+        .where((F.col("families") > line_docs) & spread)
         .join(hosts, "_host")
         .where(F.col("families") > line_share * F.col("texts"))
         .select("_host", "line")
@@ -164,8 +180,11 @@ def judge(
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, without their lines above the limit, in the columns of `docs`."""
-    judged = judge(docs).where("kept")
+    """The documents that are kept, without their lines above the limit, in the columns of `docs`.
+
+    A component of near-copies (five-word shingles, exact Jaccard similarity of 0.8 or more) counts once for each line.
+    """
+    judged = judge(docs, copies=stored(near_copies.components(docs), "quality-copies")).where("kept")
     text = F.col("clean_text")
     new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
     return judged.withColumns(new).select(*same(docs))

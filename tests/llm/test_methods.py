@@ -281,3 +281,24 @@ def test_copies_do_not_condemn_their_lines(spark):
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     cut = {r["doc_id"] for r in got if r["left_words"] < r["n_words"]}
     assert cut == set(range(100, 160))
+
+
+@pytest.mark.parametrize(("shared", "own"), [(2, 1), (5, 3), (10, 3), (10, 6), (10, 30)])
+def test_blocks_of_many_lines_leave_the_corpus(spark, shared, own):
+    rng = random.Random(shared * 100 + own)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(8))
+    block = [line() for _ in range(shared)]
+    long = lambda: " ".join(line() for _ in range(12))
+    rows = []
+    for i in range(300):
+        mine = [line() if own > 10 else long() for _ in range(own)]
+        rows.append((i, "\n".join(block + mine), "s"))
+    original = [line() for _ in range(30)]
+    for i in range(300, 360):  # near-copies: no line of theirs goes
+        edited = list(original)
+        edited[i % 30] = f"edited {i}"
+        rows.append((i, "\n".join(edited), "s"))
+    texts = {r["doc_id"]: r["text"].split("\n") for r in quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(texts) == 360
+    assert not any(set(block) & set(lines) for lines in texts.values())
+    assert all(len(texts[i]) == 30 for i in range(300, 360))
