@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from objectlog.llm import decontam, html_text, line_dedup, mixing, quality, rans, sharding, simhash, token_output, url_filter, warc
 from objectlog.llm.common import read
 
@@ -302,3 +303,30 @@ def test_blocks_of_many_lines_leave_the_corpus(spark, shared, own):
     assert len(texts) == 360
     assert not any(set(block) & set(lines) for lines in texts.values())
     assert all(len(texts[i]) == 30 for i in range(300, 360))
+
+
+def test_stage_of_near_duplicates_by_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = []
+    for _ in range(120):
+        base = [word() for _ in range(rng.randint(60, 200))]
+        texts.append(" ".join(base))
+        for _ in range(2):
+            edited = list(base)
+            for _ in range(rng.randint(1, 6)):
+                edited[rng.randrange(len(edited))] = word()
+            texts.append(" ".join(edited))
+    grams = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    sets, links = Sets(), 0
+    for i, a in enumerate(grams):
+        sets.find(i)
+        for j in range(i + 1, i + 3 - i % 3):
+            both = len(a & grams[j])
+            if both >= 0.8 * (len(a) + len(grams[j]) - both):
+                sets.link(i, j)
+                links += 1
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, FOLDER).collect()}
+    want = {i for i in range(len(texts)) if sets.find(i) == i}
+    assert links > 100 and kept == want
