@@ -28,6 +28,8 @@ SEED = 7
 RIDGE = 0.05
 TOLERANCE = 1e-5
 STEPS = 200
+#: Where domains are to keep their tokens, documents whose rate is at most so far from 1 stay as they are.
+STEADY = 0.25
 OWN = ("n_tokens", "posteriors", "rate", "copies", "_key", "_f")
 _SYMBOLS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:!?'\"-()")
 _STYLE = 8
@@ -227,19 +229,22 @@ def mix(
     labels: DataFrame,
     shares: Mapping[str, float] | None = None,
     multiples: Mapping[str, float] | None = None,
+    steady: float | None = None,
 ) -> DataFrame:
     """All rows of `docs` with n_tokens, posteriors (of DOMAINS), rate and copies.
 
     The labels train a classifier on a bounded sample of labelled documents; its posteriors are soft memberships in the
     domains good, poor and toxic, for every document. Rates are fitted so that the expected tokens of each domain match
-    its target: `shares` of all tokens, or `multiples` of the tokens that the domain has. copies is the rate rounded to
-    the nearest number, halves up: deterministic, and a document at rate 1 stays as it is.
+    its target: `shares` of all tokens, or `multiples` of the tokens that the domain has. copies is the rate's whole part,
+    and one more if a seeded hash of doc_id and text lies below the rest: repeatable, and as many tokens as the rates ask
+    for in expectation. A rate at most `steady` from 1 gives one copy: STEADY where `multiples` are asked for, else 0.
 
     Targets that no rates reach are met in the least-squares sense. A domain that no document belongs to stays empty.
     Without any labelled document all are good. Null and empty texts have no tokens, and posteriors like any text.
     Equal texts get equal rates. An empty table gives an empty one. Input columns named like a result column are
     replaced by it.
     """
+    steady = (0.0 if multiples is None else STEADY) if steady is None else steady
     key = F.md5(F.coalesce(utf8("text"), F.lit(b"")))
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     scored = F.arrow_udf(_score(shared), "struct<n:bigint, p:array<double>>")
@@ -257,12 +262,15 @@ def mix(
         return pa.array(_rates(p.flatten().to_numpy().reshape(len(p), -1), history), pa.float64())
 
     rate = F.arrow_udf(rates, "double")
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "_key"), 11) / float(1 << 53)
+    whole = F.floor("rate")
+    drawn = whole + (draw < F.col("rate") - whole).cast("long")
     known = members.groupBy("_key").agg(F.first("n").alias("n_tokens"), F.first("p").alias("posteriors"))
     return (
         without(docs, OWN)
         .withColumn("_key", key)
         .join(known.withColumn("rate", rate("posteriors")), "_key")
-        .withColumn("copies", F.floor(F.col("rate") + 0.5))
+        .withColumn("copies", F.when(F.abs(F.col("rate") - 1) <= steady, F.lit(1).cast("long")).otherwise(drawn))
         .drop("_key")
     )
 

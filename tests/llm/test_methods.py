@@ -330,3 +330,14 @@ def test_stage_of_near_duplicates_by_brute_force(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, frame, FOLDER).collect()}
     want = {i for i in range(len(texts)) if sets.find(i) == i}
     assert links > 100 and kept == want
+
+
+def test_tokens_of_copies_meet_the_targets(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    got = mixing.mix(docs, labels, shares={"good": 0.85, "poor": 0.15, "toxic": 0.0}).toPandas()
+    p, n = np.stack(got["posteriors"]), got["n_tokens"].to_numpy()
+    made, asked = (n * got["copies"].to_numpy()) @ p, (n * got["rate"].to_numpy()) @ p
+    assert abs(made - asked).max() < 0.015 * n.sum()
+    assert abs(made - n.sum() * np.array([0.85, 0.15, 0.0])).max() < 0.03 * n.sum()
+    assert (abs(got["copies"] - got["rate"]) < 1).all()
