@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from . import near_copies
 from .common import same, stored, utf8, without
+from .near_dup import text_key
 
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 LINE_DOCS = 10
-LINE_SHARE = 0.005
 LEFT_SHARE = 0.3
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-OWN = (*COUNTS, "base_failed", "kept", "left_words", "clean_text", "_host", "_key", "_lines", "_cut")
+OWN = (*COUNTS, "base_failed", "kept", "left_words", "clean_text", "_host", "_key", "_at", "_lines", "_cut")
 _FACTS = ", ".join(f"{c}:bigint" for c in COUNTS) + ", lines:array<bigint>, words:array<int>"
 _ARROW = pa.struct(
     [(c, pa.int64()) for c in COUNTS] + [("lines", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))]
@@ -82,7 +82,6 @@ def _facts(texts: pa.Array) -> pa.Array:
 def judge(
     docs: DataFrame,
     line_docs: int = LINE_DOCS,
-    line_share: float = LINE_SHARE,
     left_share: float = LEFT_SHARE,
     copies: DataFrame | None = None,
 ) -> DataFrame:
@@ -91,20 +90,18 @@ def judge(
     Base: under MIN_WORDS words, or over MAX_REPEATED_PERCENT % of the words in 8-word windows that occur twice.
 
     Cross-document line frequency: lines are normalised (words joined by one space, A-Z lower-cased) and hashed. Per
-    host (`source`) the distinct documents with a line are counted. Copies are not distinct: equal texts count once,
-    and documents whose smallest other line is the same count as one family. A line is above the limit if its families
-    exceed both `line_docs` and `line_share` of the host's distinct texts, and are at least half of the texts with it;
-    that leaves the lines of a large group of near-copies alone. Such lines leave clean_text; left_words counts the
-    words that stay, and a document with less than `left_share` of its words left is rejected.
+    host (`source`) the distinct documents with a line are counted; equal texts are one document. A line in more than
+    `line_docs` of them leaves clean_text, whatever the size of the host; left_words counts the words that stay, and a
+    document with less than `left_share` of its words left is rejected.
 
-    With `copies` (id, component, as `near_copies.components` has them) a family is such a component instead, and the
-    families alone decide: shared lines can't make one family of documents that are no near-copies.
+    With `copies` (key, component, as `near_copies.components` has them) the documents of a component count once for
+    each line, so a large group of near-copies does not make its own lines look shared.
 
     A null text has no words (base_failed) and a null clean_text; null sources form one host. Repeated rows get equal
     verdicts. An empty table gives an empty one. Input columns named like a result column are replaced by it.
     """
     host = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    key = F.md5(F.coalesce(utf8("text"), F.lit(b"")))
+    key = text_key()
     rows = without(docs, OWN).select("*", host.alias("_host"), key.alias("_key"))
     facts = F.arrow_udf(_facts, f"struct<{_FACTS}>")
     texts = stored(
@@ -114,30 +111,18 @@ def judge(
         .select("_host", "_key", "f.*"),
         "quality",
     )
-    ours = F.array_sort(F.array_distinct(F.filter("lines", lambda x: x.isNotNull())))
-    lines = texts.select("_host", "_key", ours.alias("own")).select(
-        "_host", "_key", "own", F.explode("own").alias("line")
-    )
-    low, second = F.col("own")[0], F.get("own", F.lit(1))
-    family = F.when(F.col("line") != low, low).otherwise(F.coalesce(second, low))
-    spread = 2 * F.col("families") >= F.col("with_line")
+    ours = F.array_distinct(F.filter("lines", lambda x: x.isNotNull()))
+    lines = texts.select("_host", "_key", F.explode(ours).alias("line"))
     counted = lines
     if copies is not None:
         # As text, a key and a component never meet.
-        family, spread = F.coalesce(F.col("component").cast("string"), "_key"), F.lit(True)
-        ids = docs.select(key.alias("_key"), near_copies.text_id().alias("id")).distinct().join(copies, "id")
-        placed = texts.select("_host", "_key", "lines").join(ids.select("_key", "component"), "_key", "left")
-        counted = placed.select("_host", "_key", "component", F.explode(ours).alias("line"))
-    hosts = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("texts"))
+        document = F.coalesce(F.concat(F.lit("c"), F.col("component")), F.hex("_key")).alias("document")
+        placed = texts.select("_host", "_key", "lines").join(copies.withColumnRenamed("key", "_key"), "_key", "left")
+        counted = placed.select("_host", document, F.explode(ours).alias("line")).distinct()
     often = (
-        counted.select("_host", "line", family.alias("family"))
-        .groupBy("_host", "line", "family")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("_host", "line")
-        .agg(F.count(F.lit(1)).alias("families"), F.sum("n").alias("with_line"))
-        .where((F.col("families") > line_docs) & spread)
-        .join(hosts, "_host")
-        .where(F.col("families") > line_share * F.col("texts"))
+        counted.groupBy("_host", "line")
+        .agg(F.count(F.lit(1)).alias("documents"))
+        .where(F.col("documents") > line_docs)
         .select("_host", "line")
     )
     cuts = (
@@ -172,8 +157,10 @@ def judge(
             F.filter(F.split("text", "\n", -1), lambda _, i: stays(F.get("_lines", i))), "\n"
         ),
     ).otherwise(F.col("text"))
+    # Under a struct, both sides have an exchange of their own, so that Spark can split the rows of one repeated text.
+    at = F.struct("_host", "_key")
     return (
-        rows.join(verdicts, ["_host", "_key"])
+        rows.withColumn("_at", at).join(verdicts.select(at.alias("_at"), "*").drop("_host", "_key"), "_at").drop("_at")
         .withColumn("clean_text", clean)
         .drop("_host", "_key", "_cut", "_lines")
     )
@@ -210,13 +197,7 @@ keyed AS (
     array_to_string(w, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), 1, 16) AS line FROM lines),
 texts AS (SELECT min(doc_id) AS doc_id, coalesce(source, '') AS host FROM words GROUP BY text, coalesce(source, '')),
 uniq AS (SELECT DISTINCT k.doc_id, k.host, k.line FROM keyed k JOIN texts t ON t.doc_id = k.doc_id),
-lows AS (SELECT doc_id, list_sort(list(line)) AS own FROM uniq GROUP BY 1),
-families AS (
-  SELECT host, line, count(DISTINCT CASE WHEN line <> own[1] THEN own[1] ELSE coalesce(own[2], own[1]) END) AS f,
-         count(*) AS n FROM uniq JOIN lows USING (doc_id) GROUP BY 1, 2),
-often AS (
-  SELECT f.host, line FROM families f JOIN (SELECT host, count(*) AS texts FROM texts GROUP BY 1) h ON h.host = f.host
-  WHERE f > 10 AND 2 * f >= n AND f > 0.005::DOUBLE * texts),
+often AS (SELECT host, line FROM uniq GROUP BY 1, 2 HAVING count(*) > 10),
 lost AS (SELECT k.doc_id, sum(k.n) AS n FROM keyed k JOIN often o ON o.host = k.host AND o.line = k.line GROUP BY 1),
 counts AS (
   SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,

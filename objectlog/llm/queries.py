@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import decontam, html_text, line_dedup, mixing, quality, sharding, simhash, token_output, url_filter, warc
+from . import decontam, html_text, line_dedup, mixing, near_dup, quality, sharding, simhash, token_output, url_filter, warc
 from .common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,11 @@ def op10_external_shuffle(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.external_shuffle(read(spark, folder, "documents")).select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
+
+
+@query
+def op11_bayes_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.duplicates(read(spark, folder, "documents"))
+
+
+ORACLES["op11_bayes_minhash"] = near_dup.ORACLE
