@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from . import decontam, html_text, line_dedup, mixing, near_dup, quality, sharding, simhash, token_output, url_filter, warc
+from . import decontam, hard_negatives, html_text, line_dedup, manifest, mixing, near_dup, quality, sharding, simhash, token_output, url_filter, warc
 from .common import read, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,20 @@ def op11_bayes_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op11_bayes_minhash"] = near_dup.ORACLE
+
+
+@query
+def op12_merkle_butterfly(spark: SparkSession, folder: str) -> DataFrame:
+    found = manifest.manifest(read(spark, folder, "documents"), manifest.lowered())
+    return found.withColumnRenamed("key", "doc_id").drop("path")
+
+
+ORACLES["op12_merkle_butterfly"] = manifest.oracle()
+
+
+@query
+def op13_hilbert_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(read(spark, folder, "embeddings"))
+
+
+ORACLES["op13_hilbert_negatives"] = hard_negatives.ORACLE
