@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ordered import fold
-from .common import utf8
+from .common import stored, utf8
 
 MIN_SHARED_BYTES = 100
 CRLF = "\r\n"
@@ -58,16 +58,36 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     The payload is the html in UTF-8 (null: empty). Of pages with equal payloads of at least MIN_SHARED_BYTES bytes,
     that with the smallest page_id gets the response record, the others revisit it. A page without an id can't be
     revisited before one with an id. The metadata record carries the page_id. Request and metadata name the response
-    in WARC-Concurrent-To. Rows that repeat a page_id and payload are one capture. Null urls leave the target out. An
-    empty table gives an archive without records. Other columns are not written.
+    in WARC-Concurrent-To. Every row is a capture of its own, repeated rows too: record ids come from page_id, payload,
+    url and a number among equal rows. Where several rows have the smallest page_id, all hold the payload, and the one
+    with the smallest url (null first) is revisited. Null urls leave the target out. An empty table gives an archive
+    without records. Other columns are not written.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", body.alias("html"), F.sha2(body.cast("binary"), 256).alias("digest"))
-    shared = rows.where(F.octet_length("html") >= MIN_SHARED_BYTES).select("digest", "page_id")
-    first = fold(shared, "digest", F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Without the payloads: what each digest that occurs again refers to, and whether equal rows are among its pages.
+    counted = rows.groupBy("digest", "page_id", "url").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("html")).alias("size"))
+    least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    shared = stored(
+        fold(counted, "digest", least, F.sum("n").alias("rows"), F.max("n").alias("most"), F.max("size").alias("size")).where("rows > 1"),
+        "archive-shared",
+    )
+    first = shared.select("digest", F.when(F.col("size") >= MIN_SHARED_BYTES, F.col("first")).alias("first"), (F.col("most") > 1).alias("equal"))
     placed = rows.join(first, "digest", "left")
-    again = F.coalesce(F.col("first") != F.col("page_id"), F.col("first").isNotNull())
-    main, asked, about = (_urn(k, F.col("page_id"), F.col("digest")) for k in ("response", "request", "metadata"))
+    none = F.lit(0).alias("number")
+    once = placed.where(~F.coalesce("equal", F.lit(False))).select("page_id", "url", "html", "digest", "first", none)
+    if not first.where("equal").isEmpty():
+        # Equal rows fold to one before they travel, and come back with numbers.
+        folded = rows.join(first.where("equal"), "digest").groupBy("page_id", "url", "digest", "first").agg(
+            F.first("html").alias("html"), F.count(F.lit(1)).alias("n")
+        )
+        numbers = F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("number")
+        once = once.unionByName(folded.select("page_id", "url", "html", "digest", "first", numbers))
+    placed = once
+    again = F.coalesce(F.col("first.page_id") != F.col("page_id"), F.col("first").isNotNull())
+    main, asked, about = (
+        _urn(k, F.col("page_id"), F.col("digest"), F.col("url"), F.col("number")) for k in ("response", "request", "metadata")
+    )
     target = _field("WARC-Target-URI", F.col("url"))
     concurrent = _field("WARC-Concurrent-To", main)
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -91,7 +111,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     )
     revisit = _record(
         F.lit("revisit"), main, date, answer, target, F.lit("Content-Type: application/http; msgtype=response"), digest,
-        F.lit(f"WARC-Profile: {REVISIT}"), _field("WARC-Refers-To", _urn("response", F.col("first"), F.col("digest"))),
+        F.lit(f"WARC-Profile: {REVISIT}"), _field("WARC-Refers-To", _urn("response", F.col("first.page_id"), F.col("digest"), F.col("first.url"), F.lit(0))),
     )
     asking = _record(
         F.lit("request"), asked, date, request, target, F.lit("Content-Type: application/http; msgtype=request"), concurrent

@@ -130,9 +130,17 @@ def test_warc(spark, tmp_path):
     records = warc.read_archives(spark, f"{tmp_path}/a").cache()
     got = {r["response"]["payload"].decode(): r for r in warc.assemble(records).collect()}
     kinds = [r["type"] for r in warc.assemble(records).collect()]
-    assert sorted(kinds) == ["response"] * 5 + ["revisit"]  # the repeated row is one capture
+    assert sorted(kinds) == ["response"] * 6 + ["revisit"]  # each row is a capture, the repeated one too
     assert "WARC/1.1\r\n\r\nWARC/1.0 <p>inside" in got and not records.where("truncated").count()
     assert all(r["request"] is not None and len(r["metadata"]) == 1 for r in got.values())
+    big = "x" * 200
+    same = [(1, "http://a.com/1", big, None, None), (1, "http://a.com/2", big, None, None), (None, "u", big, None, None), (None, "u", big, None, None)]
+    more = [(None, "n", "y" * 150, None, None)] * 3 + [(7, "u", "small", None, None)] * 2
+    warc.write_archives(pages(spark, same + more), f"{tmp_path}/c")
+    read = warc.assemble(warc.read_archives(spark, f"{tmp_path}/c")).collect()
+    assert sorted(r["type"] for r in read) == ["response"] * 7 + ["revisit"] * 2 and len({r["capture"] for r in read}) == 9
+    held = {r["capture"]: r["response"]["payload_bytes"] for r in read}
+    assert all(held[r["response"]["refers_to"]] == 200 for r in read if r["type"] == "revisit")
     warc.write_archives(pages(spark, []), f"{tmp_path}/b")
     assert warc.assemble(warc.read_archives(spark, f"{tmp_path}/b")).count() == 0
 
