@@ -45,29 +45,44 @@ def cumulative(hist: DataFrame, groups: Sequence[str], value: str, sums: Sequenc
     """Running totals in ascending order of `value` within each group.
 
     `hist` has one row per (group, value). Adds `<c>_upto` (inclusive) and
-    `<c>_all` (group total) for each column of `sums`.
+    `<c>_all` (group total) for each column of `sums`, and `<value>_least`, the
+    smallest value of the group.
     """
     # A struct is a null-safe key: the join below reuses the window's partitioning.
     hist = hist.withColumn("_key", F.struct(*groups, _bucket(F.col(value)).alias("_bucket")))
     inner = Window.partitionBy("_key").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     running = hist.withColumns({f"_{c}_run": F.sum(c).over(inner) for c in sums})
     # One row per (group, bucket): at most a few hundred thousand buckets exist.
-    totals = hist.groupBy("_key").agg(*[F.sum(c).alias(f"_{c}_sum") for c in sums])
+    totals = hist.groupBy("_key").agg(F.min(value).alias("_low"), *[F.sum(c).alias(f"_{c}_sum") for c in sums])
     whole = Window.partitionBy(*[F.col("_key")[g] for g in groups])
     before = whole.orderBy(F.col("_key._bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         "_key",
         *[F.coalesce(F.sum(f"_{c}_sum").over(before), F.lit(0)).alias(f"_{c}_before") for c in sums],
         *[F.sum(f"_{c}_sum").over(whole).alias(f"{c}_all") for c in sums],
+        F.min("_low").over(whole).alias(f"{value}_least"),
     )
     joined = running.join(totals, "_key")
     return joined.select(
         *[c for c in hist.columns if c != "_key"],
         *[(F.col(f"_{c}_before") + F.col(f"_{c}_run")).alias(f"{c}_upto") for c in sums],
         *[f"{c}_all" for c in sums],
+        f"{value}_least",
     )
 
 
+def spread() -> Column:
+    """Sum of squared distances from the mean, as an `extra` aggregate of `quantiles`.
+
+    Distances from the group's smallest value are summed, not the values, so
+    values that are large against their spread lose no digits, and partial sums
+    of any split of the group merge.
+    """
+    n, away = F.col("_n"), F.col("_value") - F.col("_value_least")
+    total = F.sum(away * n)
+    return F.greatest(F.lit(0.0), F.sum(away * away * n) - total * total / F.sum(n))
+
+
 def quantiles(
     df: DataFrame,
     groups: Sequence[str],
@@ -80,7 +95,8 @@ def quantiles(
     """Exact linearly interpolated quantiles per group, plus `n`.
 
     Nulls are dropped. `weight` is a whole number of repetitions. `extra` are
-    aggregates over the histogram columns `_value` (the value), `_n` (its count).
+    aggregates over the histogram columns `_value` (the value), `_n` (its count)
+    and `_value_least` (the group's smallest value).
     """
     n = F.count(F.lit(1)) if weight is None else F.sum("_weight")
     cols = [*groups, value.cast("double").alias("_value")]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import from_micros, micros, to_micros
-from ..functions.ordered import densify, fold, quantiles
+from ..functions.ordered import densify, fold, quantiles, spread
 from ..grid import Grid, span
 from ..model import ObjectLog, quoted
 
@@ -49,16 +49,14 @@ def degree_summary(log: ObjectLog) -> DataFrame:
         ],
     )
     value, n = F.col("_value"), F.col("_n")
-    total, square = F.sum(value * n), F.sum(value * value * n)
-    variance = (square - total * total / F.sum(n)) / (F.sum(n) - 1)
     return quantiles(
         both,
         ["metric"],
         F.col("degree"),
         {"p50": 0.5, "p90": 0.9},
         extra=[
-            (total / F.sum(n)).alias("mean"),
-            F.when(F.sum(n) > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"),
+            (F.sum(value * n) / F.sum(n)).alias("mean"),
+            F.when(F.sum(n) > 1, F.sqrt(spread() / (F.sum(n) - 1))).alias("std"),
             F.min("_value").cast("long").alias("min"),
             F.max("_value").cast("long").alias("max"),
         ],

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import number_rows, quantiles
+from ..functions.ordered import cumulative, quantiles, spread
 from ..session import cut_lineage
 
 _KEYS = ["split", "time"]
@@ -110,6 +111,77 @@ def entity_overlap(train: DataFrame, test: DataFrame, keys: Sequence[str]) -> Da
     return tested.agg((F.count("_seen") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("ratio_train_test_entity_overlap"))
 
 
+# A binomial with a smaller mean is walked up from zero, this many steps at most (no mass is left beyond); above, the
+# normal quantile with its skewness term is as good as exact.
+_WALK_MEAN, _WALK_STEPS = 16, 64
+_DIGITS = 12
+
+
+def _uniform(seed: int, part: int, *columns: str) -> Column:
+    """A number between 0 and 1 from an md5 of the columns: digits 12 * part + 1 and on. Any engine can repeat it."""
+    code = F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
+    number = F.conv(F.substring(code, _DIGITS * part + 1, _DIGITS), 16, 10).cast("long")
+    return (number + F.lit(0.5)) / F.lit(float(16**_DIGITS))
+
+
+def _walked(m: Column, p: Column, u: Column) -> Column:
+    """Least k at which the binomial distribution of m tries with chance p reaches u."""
+    start = F.pow(1 - p, m)
+
+    def step(at: Column, j: Column) -> Column:
+        mass = at["mass"] * (m - j + 1) / j * (p / (1 - p))
+        on = F.struct(j.cast("double").alias("k"), mass.alias("mass"), (at["upto"] + mass).alias("upto"))
+        return F.when((at["upto"] >= u) | (j > m), at).otherwise(on)
+
+    first = F.struct(F.lit(0.0).alias("k"), start.alias("mass"), start.alias("upto"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(_WALK_STEPS)), first, step)["k"]
+
+
+def _binomial(m: Column, p: Column, u: Column, v: Column) -> Column:
+    """A binomial number from two uniform ones."""
+    low = F.least(p, 1 - p)
+    middle = m * low
+    normal = F.sqrt(-2 * F.log(u)) * F.cos(F.lit(2 * math.pi) * v)
+    skew = (normal * normal - 1) * (1 - 2 * low) / 6
+    large = F.floor(middle + normal * F.sqrt(middle * (1 - low)) + skew + 0.5)
+    k = F.least(m, F.greatest(F.lit(0), F.when(middle < _WALK_MEAN, _walked(m, low, u)).otherwise(large))).cast("long")
+    return F.when(p > 0.5, m - k).otherwise(k)
+
+
+def resampled_counts(hist: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """split, replicate, target, w: how often each value comes in a resample of as many labels as the split has.
+
+    `hist` has split, target, n. A split's values, in order, are the leaves of a binary tree. In each replicate all
+    draws stand at the root; at every node a binomial number of its draws goes to the left half, whose chance is its
+    share of the node's labels. That is a multinomial draw, without a row for each draw: the work is distinct values
+    times replicates. Nodes without draws are left at once.
+    """
+    ranked = cumulative(hist.withColumn("one", F.lit(1)), ["split"], "target", ["one"]).select(
+        "split", "target", "n", (F.col("one_upto") - 1).alias("leaf"), F.col("one_all").alias("values")
+    )
+    ranked = cut_lineage(ranked)
+    depth = max(0, ((ranked.agg(F.max("values")).first()[0] or 1) - 1).bit_length())
+    sums = ranked.groupBy("split").agg(F.sum("n").alias("m"))
+    draws = sums.select("split", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("replicate"), F.lit(0).cast("long").alias("node"), "m")
+    for level in range(depth):
+        half = F.shiftright("leaf", depth - level - 1)
+        nodes = ranked.groupBy("split", F.shiftright(half, 1).alias("node")).agg(
+            F.sum("n").alias("all"), F.sum(F.when(half % 2 == 0, F.col("n")).otherwise(0)).alias("left")
+        )
+        keys = ("split", "replicate", "level", "node")
+        placed = draws.join(nodes, ["split", "node"]).withColumn("level", F.lit(level))
+        share = F.col("left") / F.col("all")
+        u, v = (_uniform(seed, part, *keys) for part in (0, 1))
+        taken = placed.withColumn("taken", F.when(share == 1, F.col("m")).otherwise(_binomial(F.col("m"), share, u, v)))
+        sides = F.array(
+            F.struct((F.col("node") * 2).alias("node"), F.col("taken").alias("m")),
+            F.struct((F.col("node") * 2 + 1).alias("node"), (F.col("m") - F.col("taken")).alias("m")),
+        )
+        draws = cut_lineage(taken.select("split", "replicate", F.inline(sides)).where("m > 0"))
+    leaves = ranked.select("split", F.col("leaf").alias("node"), "target")
+    return draws.join(leaves, ["split", "node"]).select("split", "replicate", "target", F.col("m").alias("w"))
+
+
 def bootstrap(
     labels: DataFrame,
     keys: Sequence[str],
@@ -122,26 +194,14 @@ def bootstrap(
 ) -> DataFrame:
     """split, statistic, point, lower, upper by resampling n of n labels of a split with replacement.
 
-    Statistics: mean, std, q25, q50, q75, or the share of each class. The labels of a split are numbered by value; the
-    i-th draw of a replicate takes the label whose number is an md5 of (seed, split, replicate, i) modulo n. Draws fold
-    to (split, replicate, value) where they are made; no label is left out.
+    Statistics: mean, std, q25, q50, q75, or the share of each class. Labels fold to a histogram first; each replicate
+    draws counts of its values (see `resampled_counts`). No label is left out.
     """
     wanted = labels.where(F.col("split").isin(list(splits))).select("split", F.col("target").cast("double").alias("target"))
-    numbered = cut_lineage(number_rows(wanted, ["split", "target"], "_number"))
-    sizes = numbered.groupBy("split").agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("_all"))
-    # As many rows as splits.
-    sample = numbered.join(F.broadcast(sizes), "split").withColumn("_rank", (F.col("_number") - F.col("_first")).cast("long"))
-    draws = sample.select("split", "_rank", "_all").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    code = F.md5(F.concat_ws("|", F.lit(str(seed)), "split", "replicate", "_rank"))
-    number = F.conv(F.substring(code, 1, 12), 16, 10).cast("long")
-    picked = draws.select("split", "replicate", F.pmod(number, F.col("_all")).alias("_rank"))
-    # Draws of one label meet first, so that the join carries a label's row once for each replicate at most.
-    folded = picked.groupBy("split", "replicate", "_rank").agg(F.count(F.lit(1)).alias("w"))
-    drawn = folded.join(sample.select("split", "_rank", "target"), ["split", "_rank"]).select("split", "replicate", "target", "w")
-    itself = sample.select("split", F.lit(0).alias("replicate"), "target", F.lit(1).cast("long").alias("w"))
-    drawn = drawn.unionByName(itself)
+    hist = cut_lineage(wanted.where("target IS NOT NULL").groupBy("split", "target").agg(F.count(F.lit(1)).alias("n")))
+    itself = hist.select("split", F.lit(0).alias("replicate"), "target", F.col("n").alias("w"))
+    drawn = resampled_counts(hist, resamples, seed).unionByName(itself)
     n, value = F.col("_n"), F.col("_value")
-    size = F.sum(n)
     if classes is None:
         per = quantiles(
             drawn,
@@ -149,10 +209,7 @@ def bootstrap(
             F.col("target"),
             {"q25": 0.25, "q50": 0.5, "q75": 0.75},
             weight=F.col("w"),
-            extra=[
-                (F.sum(value * n) / size).alias("mean"),
-                F.sqrt(F.greatest(F.lit(0.0), F.sum(value * value * n) / size - F.pow(F.sum(value * n) / size, 2))).alias("std"),
-            ],
+            extra=[(F.sum(value * n) / F.sum(n)).alias("mean"), F.sqrt(spread() / F.sum(n)).alias("std")],
         )
         names = {name: name for name in ("mean", "std", "q25", "q50", "q75")}
     else:

@@ -16,7 +16,7 @@ from ..sources.fixtures import CLICKS_TEST, CLICKS_VAL, DAY, clicks, table
 from .jobs import SAMPLE_JOBS, job
 from .label_queries import CLICK_SPLITS, TYPES, click_splits
 from .registry import query, rounded
-from .views import on_clicks
+from .views import on_clicks, recursive
 
 KEYS = ("object_id",)
 _LEVELS = "GROUP BY GROUPING SETS ((split, time), (split), ())"
@@ -216,18 +216,49 @@ def _(spark, folder):
     return stats.entity_overlap(splits["train"], splits["test"], KEYS)
 
 
+# The binary tree of conditional binomials, level by level; `binomial` takes the draws m, the chance p, and two numbers u, v.
+_WALK = (
+    "list_reduce(list_transform(range(1, 65), lambda j: [j::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]), lambda a, j: CASE WHEN a[3] >= u OR j[1] > m THEN a "
+    "ELSE [j[1], a[2] * (m - j[1] + 1) / j[1] * (low / (1 - low)), a[3] + a[2] * (m - j[1] + 1) / j[1] * (low / (1 - low))] END, "
+    "[0.0::DOUBLE, pow(1 - low, m), pow(1 - low, m)])[1]"
+)
+_LARGE = (
+    "floor(m * low + z * sqrt(m * low * (1 - low)) + (z * z - 1) * (1 - 2 * low) / 6 + 0.5)"
+)
 _DRAWS = """
-, base AS (
-  SELECT split, CAST(target AS DOUBLE) AS target, ROW_NUMBER() OVER (PARTITION BY split ORDER BY target) - 1 AS rank,
-    COUNT(*) OVER (PARTITION BY split) AS n FROM {t}),
-draw AS (
-  SELECT split, r AS replicate,
-    CAST('0x' || substr(md5('42|' || split || '|' || r || '|' || rank), 1, 12) AS BIGINT) % n AS rank
-  FROM base, (SELECT unnest(range(1, 501)) AS r)),
-val AS (
-  SELECT d.split, d.replicate, b.target FROM draw d JOIN base b ON b.split = d.split AND b.rank = d.rank
-  UNION ALL SELECT split, 0, target FROM base),
+, hist AS (
+  SELECT split, CAST(target AS DOUBLE) AS target, COUNT(*) AS n, ROW_NUMBER() OVER (PARTITION BY split ORDER BY CAST(target AS DOUBLE)) - 1 AS leaf
+  FROM {t} WHERE target IS NOT NULL GROUP BY split, CAST(target AS DOUBLE)),
+depth AS (SELECT CAST(CEIL(LOG2(MAX(leaf) + 1)) AS BIGINT) AS depth FROM hist),
+nodes AS (
+  SELECT split, level, leaf // (1::BIGINT << (depth - level)) AS node, SUM(n) AS total,
+    SUM(CASE WHEN (leaf // (1::BIGINT << (depth - level - 1))) % 2 = 0 THEN n ELSE 0 END) AS lefts
+  FROM hist, depth, (SELECT unnest(range(0, 40)) AS level) WHERE level < depth GROUP BY ALL),
+draws AS (
+  SELECT split, r AS replicate, 0::BIGINT AS level, 0::BIGINT AS node, m
+  FROM (SELECT split, SUM(n)::BIGINT AS m FROM hist GROUP BY 1), (SELECT unnest(range(1, 501)) AS r)
+  UNION ALL
+  SELECT split, replicate, level + 1, node * 2 + side, CASE side WHEN 0 THEN k ELSE m - k END FROM (
+    SELECT *, unnest([0, 1]) AS side FROM (
+      SELECT *, CASE WHEN share = 1 THEN m WHEN share > 0.5 THEN m - b ELSE b END AS k FROM (
+        SELECT *, least(m, greatest(0, CASE WHEN m * low < 16 THEN {walk} ELSE {large} END))::BIGINT AS b FROM (
+          SELECT *, sqrt(-2 * ln(u)) * cos(2 * pi() * v) AS z FROM (
+            SELECT d.split, d.replicate, d.level, d.node, d.m, x.lefts::DOUBLE / x.total AS share, least(x.lefts::DOUBLE / x.total, 1 - x.lefts::DOUBLE / x.total) AS low,
+              (CAST('0x' || substr(code, 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
+              (CAST('0x' || substr(code, 13, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS v
+            FROM (SELECT *, md5('42|' || split || '|' || replicate || '|' || level || '|' || node) AS code FROM draws) d
+            JOIN nodes x ON x.split = d.split AND x.level = d.level AND x.node = d.node))))) WHERE CASE side WHEN 0 THEN k ELSE m - k END > 0),
+rep AS (
+  SELECT d.split, d.replicate, h.target, d.m AS w FROM draws d, depth JOIN hist h ON h.split = d.split AND h.leaf = d.node WHERE d.level = depth.depth
+  UNION ALL SELECT split, 0, target, n FROM hist),
+val AS (SELECT split, replicate, target FROM (SELECT *, unnest(range(0, w)) AS i FROM rep)),
 """
+
+
+def _draws(table: str) -> str:
+    return _DRAWS.format(t=table, walk=_WALK, large=_LARGE)
+
+
 _INTERVALS = """
 SELECT split, statistic, ROUND(MAX(value) FILTER (replicate = 0), 6) AS point,
   ROUND(quantile_cont(value, 0.025) FILTER (replicate > 0), 6) AS lower,
@@ -238,7 +269,7 @@ FROM stat GROUP BY ALL
 
 @query(
     "bootstrap_regression",
-    on_clicks(CLICK_SPLITS + _DRAWS.format(t="lab") + """
+    recursive(CLICK_SPLITS + _draws("lab") + """
 wide AS (
   SELECT split, replicate, AVG(target) AS mean, STDDEV_POP(target) AS std, quantile_cont(target, 0.25) AS q25,
     quantile_cont(target, 0.5) AS q50, quantile_cont(target, 0.75) AS q75 FROM val GROUP BY ALL),
@@ -253,7 +284,7 @@ def _(spark, folder):
 
 @query(
     "bootstrap_classes",
-    on_clicks(CLASS_LABELS + _DRAWS.format(t="cls") + """
+    recursive(CLASS_LABELS + _draws("cls") + """
 stat AS (
   SELECT split, replicate, 'class ' || c AS statistic, AVG(CASE WHEN target = c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS value
   FROM val, (SELECT unnest([0, 1, 2]) AS c) GROUP BY ALL)

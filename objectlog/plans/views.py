@@ -64,3 +64,8 @@ def on_clicks(body: str) -> str:
 
 def on_orders(body: str) -> str:
     return f"WITH {ORDERS.strip()}{body}"
+
+
+def recursive(body: str) -> str:
+    """As `on_clicks`, for bodies with a table that refers to itself."""
+    return on_clicks(body).replace("WITH ", "WITH RECURSIVE ", 1)
