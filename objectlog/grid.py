@@ -7,6 +7,7 @@ by arithmetic (even steps) or by a binary search in a literal array.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -16,9 +17,6 @@ from pyspark.sql import functions as F
 
 from .functions.columns import from_micros, micros, to_micros
 
-# Irregular grids are shipped as a literal in the plan, so their size is bounded.
-MAX_IRREGULAR = 100_000
-
 
 @dataclass(frozen=True)
 class Grid:
@@ -47,8 +45,6 @@ class Grid:
         steps = {b - a for a, b in zip(ordered, ordered[1:])}
         if len(steps) == 1 and timedelta(0) not in steps:
             return cls.regular(ordered[0], steps.pop(), len(ordered))
-        if len(ordered) > MAX_IRREGULAR:
-            raise ValueError(f"Irregular grids are limited to {MAX_IRREGULAR} times.")
         return cls(ordered[0], timedelta(0), len(ordered), tuple(ordered))
 
     def joins(self, other: "Grid") -> bool:
@@ -73,7 +69,7 @@ class Grid:
             offset = at - F.lit(micros(self.start))
             slot = ((offset + F.pmod(-offset, F.lit(step))) / step).cast("long")
             return F.greatest(F.lit(0), F.least(F.lit(self.n), slot)).cast("int")
-        ordered = F.array(*[F.lit(micros(t)) for t in self.times])
+        ordered = self._literal()
         power = 1 << (self.n.bit_length() - 1)
         strides = []
         while power:
@@ -92,7 +88,11 @@ class Grid:
     def time_of(self, slot: Column) -> Column:
         if self.times is None:
             return from_micros(F.lit(micros(self.start)) + slot.cast("long") * micros(self.step))
-        return F.get(F.array(*[F.lit(t).cast("timestamp_ntz") for t in self.times]), slot)
+        return from_micros(F.get(self._literal(), slot))
+
+    def _literal(self) -> Column:
+        """All times as one constant: the plan does not grow with their number. (Times in a table: see `functions.asof`.)"""
+        return F.from_json(F.lit(json.dumps([micros(t) for t in self.times])), "array<bigint>")
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.range(self.n).select(

@@ -10,9 +10,10 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.asof import with_rank
 from ..functions.columns import from_micros, micros, to_micros
-from ..functions.ordered import densify, fold, quantiles, spread
-from ..grid import Grid, span
+from ..functions.ordered import densify, fold, number_rows, quantiles, spread
+from ..grid import span
 from ..model import ObjectLog, quoted
 
 _KEYS = ("event_id", "object_id", "time")
@@ -313,37 +314,44 @@ def find_columns(log: ObjectLog, names: Iterable[str], preview_rows: int = 10) -
     return found
 
 
-def sample_root_times(log: ObjectLog, num_roots: int = 64, seed: int = 0) -> list[datetime]:
-    """Times of a repeatable sample of links, without replacement."""
+def sample_root_times(log: ObjectLog, num_roots: int = 64, seed: int = 0) -> DataFrame:
+    """time of a repeatable sample of links, without replacement: those with the smallest md5 of (seed, ids, time)."""
     timed = log.e2o.where("event_id IS NOT NULL AND object_id IS NOT NULL AND time IS NOT NULL")
-    rows = timed.orderBy(F.xxhash64(F.lit(seed), "event_id", "object_id", "time")).limit(num_roots)
-    times = sorted(r[0] for r in rows.select("time").collect())
-    if not times:
-        raise ValueError("No timed links to sample from.")
-    return times
+    code = F.md5(F.concat_ws("|", F.lit(str(seed)), "event_id", "object_id", to_micros(F.col("time"))))
+    return timed.orderBy(code, "event_id", "object_id", "time").limit(num_roots).select("time")
 
 
-def window_sizes(log: ObjectLog, deltas: Sequence[timedelta], roots: Sequence[datetime]) -> DataFrame:
-    """Distinct events and objects in the closed window [t, t + delta].
+def window_sizes(log: ObjectLog, deltas: Sequence[timedelta], roots: DataFrame) -> DataFrame:
+    """Distinct events and objects in the closed window [t, t + delta] from each root (column time; repeated ones count).
 
-    A link meets only the roots whose widest window holds it. Per root and id the
-    narrowest window that holds it is kept, and counts add up from narrow to wide.
+    Roots are numbered in order. Where a link's windows begin and end among them are ranks of its time (less each delta)
+    among the roots, so a link meets only the roots whose widest window holds it. Per root and id the narrowest window
+    that holds it is kept, and counts add up from narrow to wide.
     """
     spans = sorted(set(deltas))
     if not spans or spans[0] <= timedelta(0):
         raise ValueError("deltas must be positive.")
-    roots = sorted(roots)
-    grid = Grid.of(roots, distinct=False)
+    numbered = number_rows(roots.where("time IS NOT NULL").select("time"), ["time"], "root_index")
+    spine = numbered.select(F.col("root_index").cast("int").alias("root_index"), F.col("time").cast("timestamp_ntz").alias("root_time"))
+    held = numbered.select(to_micros(F.col("time")).alias("at"))
     timed = log.e2o.where("event_id IS NOT NULL AND object_id IS NOT NULL AND time IS NOT NULL")
-    hits = span(
-        timed.select("event_id", "object_id", "time"),
-        grid.slot_from_shifted(F.col("time"), -spans[-1]),
-        grid.slot_after(F.col("time")) - 1,
-        "root_index",
+    at = to_micros(F.col("time"))
+    # Distinct times meet the roots; links only take over what their time has found.
+    edges = [F.struct(F.lit(f"_from{i}").alias("edge"), (F.col("_time") - micros(d)).alias("_at")) for i, d in enumerate(spans)]
+    edges.append(F.struct(F.lit("_to").alias("edge"), (F.col("_time") + 1).alias("_at")))
+    names = [f"_from{i}" for i in range(len(spans))] + ["_to"]
+    asked = timed.select(at.alias("_time")).distinct().select("_time", F.inline(F.array(*edges)))
+    moments = (
+        with_rank(asked, "_at", held, "rank")
+        .groupBy("_time")
+        .agg(*[F.max(F.when(F.col("edge") == name, F.col("rank"))).alias(name) for name in names])
+        .where(F.col(f"_from{len(spans) - 1}") < F.col("_to"))
     )
-    age = to_micros(F.col("time")) - to_micros(grid.time_of(F.col("root_index")))
-    rank = reduce(lambda acc, d: acc + F.when(age > micros(d), 1).otherwise(0), spans, F.lit(0))
-    hits = hits.select("root_index", "event_id", "object_id", rank.alias("rank"))
+    known = moments.select(F.struct("_time").alias("_moment"), *names)
+    met = timed.select("event_id", "object_id", F.struct(at.alias("_time")).alias("_moment")).join(known, "_moment")
+    hits = span(met, F.col(f"_from{len(spans) - 1}"), F.col("_to") - 1, "root_index")
+    rank = reduce(lambda acc, i: acc + F.when(F.col("root_index") < F.col(f"_from{i}"), 1).otherwise(0), range(len(spans)), F.lit(0))
+    hits = hits.select(F.col("root_index").cast("int").alias("root_index"), "event_id", "object_id", rank.alias("rank"))
     sizes = []
     for key in ("event_id", "object_id"):
         narrowest = hits.groupBy("root_index", key).agg(F.min("rank").alias("rank"))
@@ -354,9 +362,7 @@ def window_sizes(log: ObjectLog, deltas: Sequence[timedelta], roots: Sequence[da
             )
         )
     table = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(micros(d)).alias("delta_us")) for i, d in enumerate(spans)])
-    spine = grid.frame(log.e2o.sparkSession).select(
-        F.col("slot").alias("root_index"), F.col("time").alias("root_time"), F.inline(table)
-    )
+    spine = spine.select("root_index", "root_time", F.inline(table))
     counted = sizes[0].unionByName(sizes[1]).groupBy("root_index", "rank").agg(
         F.sum("event_count").alias("event_count"), F.sum("object_count").alias("object_count")
     )

@@ -15,7 +15,6 @@ from .log_queries import _DOUBLED, doubled_clicks
 from .registry import query
 from .views import on_clicks, on_orders
 
-ROOTS = tuple(datetime(2024, 1, 2) + timedelta(hours=37 * i) for i in range(16))
 DELTAS = (timedelta(hours=1), timedelta(hours=6), DAY, 7 * DAY)
 
 
@@ -215,12 +214,24 @@ sizes AS (
 """
 
 
+def roots(spark):
+    """Every 37 hours, 16 times."""
+    return spark.range(16).select((F.lit(datetime(2024, 1, 2)) + F.col("id").cast("int") * F.expr("INTERVAL '37' HOUR")).alias("time"))
+
+
 @query("window_sizes", on_clicks(_WINDOWS + "SELECT * FROM sizes"))
 def _(spark, folder):
-    return profile.window_sizes(clicks(spark, folder), DELTAS, ROOTS)
+    return profile.window_sizes(clicks(spark, folder), DELTAS, roots(spark))
+
+
+_SAMPLED = """
+, root AS (
+  SELECT ROW_NUMBER() OVER (ORDER BY time)::INTEGER - 1 AS root_index, time AS root_time FROM (
+    SELECT time FROM c_e2o ORDER BY md5('0|' || event_id || '|' || object_id || '|' || epoch_us(time)), event_id, object_id, time LIMIT 64)),
+""" + _WINDOWS[_WINDOWS.index("delta AS") :]
 
 
-@query("window_sizes_sampled")
+@query("window_sizes_sampled", on_clicks(_SAMPLED + "SELECT * FROM sizes"))
 def _(spark, folder):
     log = clicks(spark, folder)
     return profile.window_sizes(log, DELTAS, profile.sample_root_times(log))
@@ -240,7 +251,7 @@ FROM band
 """),
 )
 def _(spark, folder):
-    return profile.window_size_bands(profile.window_sizes(clicks(spark, folder), DELTAS, ROOTS))
+    return profile.window_size_bands(profile.window_sizes(clicks(spark, folder), DELTAS, roots(spark)))
 
 
 # -- timing ----------------------------------------------------------------
