@@ -231,7 +231,8 @@ def test_graph_catalogue(make_log):
     assert ("e2o", "f2p_event_id", "event") in graph.edge_catalogue(log)
     bare = graph.edge_catalogue(log.replace(e2o=log.e2o.drop("qualifier")))
     assert bare == [("object", "via_e2o", "event"), ("event", "via_e2o", "object")]
-    assert graph.fan_out(32, 4) == [-1, 32, 20, 13]
+    limits = {(r["edge"], r["hop"]): r["limit"] for r in graph.fan_outs(log, 32, 3).collect()}
+    assert [limits["object>via_e2o>event", hop] for hop in (1, 2, 3)] == [32, 20, 13]
     assert validate.require_columns(log) is None
     numbered = graph.reindex(log)
     assert numbered.e2o.select("event_id", "object_id").first() == (0, 0)

@@ -128,3 +128,34 @@ def test_multiclass_edge_cases(spark):
     assert metrics.observed_macro_auc(zero).first().roc_auc == 0.5
     wide = frame([(0, [1.0]), (1, [0.0]), (2, [0.0])])
     assert metrics.observed_macro_auc(wide).first().roc_auc is not None
+
+
+def test_ranks_among_very_many_uneven_times(spark):
+    """200,000 times and as many values, a third of them equal; against numpy."""
+    import numpy as np
+
+    from objectlog.functions.asof import with_rank
+
+    rng = np.random.default_rng(2)
+    times = rng.integers(0, 10**9, 200_000)
+    values = np.where(np.arange(200_000) % 3 == 0, times[7], rng.integers(-5, 10**9, 200_000))
+    held = spark.createDataFrame([(int(t),) for t in times], "at long")
+    asked = spark.createDataFrame([(i, int(v)) for i, v in enumerate(values)] + [(-1, None)], "i int, v long")
+    got = {r["i"]: r["rank"] for r in with_rank(asked, "v", held, "rank").collect()}
+    want = np.searchsorted(np.sort(times), values, side="left")
+    assert got.pop(-1) is None and got == {i: int(w) for i, w in enumerate(want)}
+
+
+def test_a_grid_of_very_many_uneven_times(spark):
+    from bisect import bisect_left
+    from datetime import datetime, timedelta
+
+    from objectlog import Grid
+
+    start = datetime(2024, 1, 1)
+    times = [start + timedelta(seconds=k * 7 + k % 3) for k in range(200_000)]
+    grid = Grid.of(times)
+    asked = [start + timedelta(seconds=s) for s in (-5, 0, 1, 7, 8, 700_003, 1_399_990, 10**7)]
+    rows = spark.createDataFrame([(a,) for a in asked], "time timestamp_ntz").select("time", grid.slot_from(F.col("time")).alias("slot")).collect()
+    assert [r["slot"] for r in rows] == [bisect_left(times, a) for a in asked]
+    assert grid.frame(spark).where("slot = 199999").first()["time"] == times[-1]

@@ -84,20 +84,27 @@ def test_labels_fold_before_they_meet_objects(skewed):
     assert hot == want
 
 
-def test_hub_keeps_few_edges_per_interval(skewed, spark):
-    grid = Grid.regular(datetime(2024, 1, 5), timedelta(days=5), 5)
-    seeds = grid.frame(spark).select(F.col("slot").alias("seed_id"), F.lit("hot").alias("node"), F.col("time").alias("seed_time"))
-    edges = skewed.e2o.select(F.col("object_id").alias("source"), F.col("event_id").alias("target"), "time")
-    for strategy in ("last", "uniform"):
-        found = graph.temporal_neighbours(seeds, edges, grid, [6], strategy=strategy, seed=3)
-        rows = {(r.seed_id, r.target) for r in found.collect()}
-        own = edges.where("source = 'hot'").withColumn("h", F.xxhash64(F.lit(3), "source", "target")).collect()
-        want = set()
-        for s in seeds.collect():
-            past = [r for r in own if r.time <= s.seed_time]
-            past.sort(key=(lambda r: r.h) if strategy == "uniform" else (lambda r: (r.time, r.target)), reverse=strategy == "last")
-            want |= {(s.seed_id, r.target) for r in past[:6]}
-        assert rows == want
+@pytest.mark.parametrize("strategy", ["last", "uniform"])
+def test_hub_costs_its_fan_out(skewed, spark, strategy):
+    """Seeds ask a hub that holds a third of all edges; two edge types with fan-outs of their own, uneven seed times."""
+    days = [5, 6, 9.25, 9.5, 20, 29]
+    seeds = spark.createDataFrame(
+        [(i, "object:hot", datetime(2024, 1, 1) + timedelta(days=d)) for i, d in enumerate(days)] + [(9, "object:none", datetime(2024, 1, 3))],
+        "seed_id int, node string, seed_time timestamp_ntz",
+    )
+    edges = graph.typed_edges(skewed).where("edge LIKE '%via_e2o%' OR edge LIKE '%rev_f2p_object_id%'")
+    limits = graph.fan_outs(skewed, 6, 1).withColumn("limit", F.when(F.col("edge").contains("rev"), 2).otherwise(F.col("limit")))
+    found = graph.temporal_neighbours(seeds, edges, limits, 1, strategy=strategy, seed=3)
+    rows = {(r.seed_id, r.edge, r.target) for r in found.collect()}
+    own = edges.where("source = 'object:hot'").withColumn("h", F.md5(F.concat_ws("|", F.lit("3"), "source", "target"))).collect()
+    kept = {r.edge: r.limit for r in limits.collect()}
+    want = set()
+    for s in seeds.where("node = 'object:hot'").collect():
+        for edge in {r.edge for r in own}:
+            past = [r for r in own if r.edge == edge and r.time <= s.seed_time]
+            past.sort(key=(lambda r: (r.h, r.target)) if strategy == "uniform" else (lambda r: (r.time, r.target)), reverse=strategy == "last")
+            want |= {(s.seed_id, edge, r.target) for r in past[: kept[edge]]}
+    assert rows == want and len(want) > 30
 
 
 def test_one_event_with_a_third_of_the_links(skewed, spark):
