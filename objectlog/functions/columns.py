@@ -73,6 +73,12 @@ def softmax(scores: Column) -> Column:
     return normalized(shifted)
 
 
+def uniform(seed: Column | int, *columns: Column | str) -> Column:
+    """A repeatable number in [0, 1): the first 52 bits of an md5 of the seed and the columns, as any engine can make it."""
+    code = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), *columns))
+    return F.conv(F.substring(code, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def normalized(values: Column) -> Column:
     total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
     return F.when(

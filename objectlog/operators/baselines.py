@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import normalized, one_hot
+from ..functions.columns import normalized, one_hot, to_micros, uniform
 from ..functions.ordered import quantiles
 from ..session import cut_lineage
 from . import metrics
@@ -49,12 +49,6 @@ def fit(labels: DataFrame, groups: Sequence[str]) -> DataFrame:
     ).drop("n")
 
 
-def uniform(seed: int, *columns: Column | str) -> Column:
-    """A repeatable uniform number in [0, 1) from the row's own columns."""
-    bits = F.xxhash64(F.lit(seed), *columns).bitwiseAND(F.lit((1 << 52) - 1))
-    return bits / F.lit(float(1 << 52))
-
-
 def fitted(stacked: DataFrame, key: str) -> DataFrame:
     """Labels of all splits with the global and entity values they are predicted by.
 
@@ -77,11 +71,14 @@ def fitted(stacked: DataFrame, key: str) -> DataFrame:
 
 
 def predict(
-    stacked: DataFrame, keys: Sequence[str], task_type: str, *, num_classes: int = 0, seed: int = 42
+    stacked: DataFrame, keys: Sequence[str], task_type: str, *, num_classes: int = 0, seeds: Sequence[int] = (42,)
 ) -> DataFrame:
-    """Long frame (baseline, split, target, pred) of every baseline of the task type."""
+    """Long frame (baseline, seed, split, target, pred) of every baseline of the task type.
+
+    The random baseline has a row for each seed; the others do not depend on it and stand under the first one.
+    """
     rows = fitted(stacked, keys[0])
-    own = ["time", *keys]
+    own = [to_micros(F.col("time")), *keys]
     value = {
         "global_zero": F.lit(0.0),
         "global_mean": F.col("mean"),
@@ -89,18 +86,18 @@ def predict(
         "entity_mean": F.coalesce("entity_mean", "mean"),
         "entity_median": F.coalesce("entity_median", "median"),
         "majority": F.col("majority"),
-        "random": uniform(seed, *own),
     }
+    drawn = {s: uniform(s, *own) for s in seeds}
     if task_type == "multiclass":
-        draws = F.array(*[uniform(seed, F.lit(k), *own) for k in range(num_classes)])
         value = {
-            "random": normalized(draws),
             "majority": one_hot(F.col("majority"), num_classes),
             "entity_majority_multiclass": one_hot(F.coalesce("entity_majority", "majority"), num_classes),
         }
-    pairs = F.array(
-        *[F.struct(F.lit(name).alias("baseline"), value[name].alias("pred")) for name in BASELINES[task_type]]
-    )
+        drawn = {s: normalized(F.array(*[uniform(s, F.lit(k), *own) for k in range(num_classes)])) for s in seeds}
+    said = [(name, seeds[0], value[name]) for name in BASELINES[task_type] if name != "random"]
+    if "random" in BASELINES[task_type]:
+        said += [("random", s, drawn[s]) for s in seeds]
+    pairs = F.array(*[F.struct(F.lit(n).alias("baseline"), F.lit(s).alias("seed"), p.alias("pred")) for n, s, p in said])
     return rows.select("split", "target", F.inline(pairs))
 
 
@@ -110,8 +107,8 @@ def class_count(stacked: DataFrame, declared: int) -> int:
     return max(declared, 0 if largest is None else int(largest) + 1)
 
 
-def score(predictions: DataFrame, task_type: str) -> DataFrame:
-    groups = ["baseline", "split"]
+def score(predictions: DataFrame, task_type: str, groups: Sequence[str] = ("baseline", "seed", "split")) -> DataFrame:
+    groups = list(groups)
     if task_type == "regression":
         return metrics.regression(predictions, groups)
     if task_type == "binary":
@@ -134,15 +131,19 @@ def evaluate(
     dataset: str,
     task: str,
     num_classes: int = 0,
-    seed: int = 42,
+    seeds: Sequence[int] = (42,),
 ) -> DataFrame:
-    """One row per baseline and split: train and val scored by predictors fitted on
-    train, test by predictors fitted on train and val together."""
+    """One row per seed, baseline and split: train and val scored by predictors fitted
+    on train, test by predictors fitted on train and val together.
+
+    Labels are built, and baselines without chance scored, once for all seeds."""
     # Label tables are small next to the log; they are built once for all baselines.
     stacked = cut_lineage(stack_splits(splits))
     if task_type == "multiclass":
         num_classes = class_count(stacked, num_classes)
-    scored = score(predict(stacked, keys, task_type, num_classes=num_classes, seed=seed), task_type)
+    scored = score(predict(stacked, keys, task_type, num_classes=num_classes, seeds=seeds), task_type)
+    every = F.array(*[F.lit(s) for s in seeds])
+    scored = scored.withColumn("seed", F.explode(F.when(F.col("baseline") == "random", F.array("seed")).otherwise(every)))
     sizes = stacked.agg(
         F.struct(*[F.count_if(F.col("split") == s).alias(f"{s}_rows") for s in _FITTED_ON])
     ).scalar()
@@ -152,7 +153,7 @@ def evaluate(
         F.lit(dataset).alias("dataset"),
         F.lit(task).alias("task"),
         F.lit(task_type).alias("task_type"),
-        F.lit(seed).alias("seed"),
+        "seed",
         *[sizes.getField(f"{s}_rows").alias(f"{s}_rows") for s in _FITTED_ON],
         "baseline",
         "split",
@@ -170,5 +171,42 @@ def best(results: DataFrame, metric: str, *, higher: bool) -> DataFrame:
     )
 
 
+def evaluate_predictions(labels: DataFrame, predictions: DataFrame, keys: Sequence[str], task_type: str) -> DataFrame:
+    """The metrics of given predictions (keys, pred) against labels (keys, target), chosen by the task type; one row.
+
+    Predictions are joined by key, in whatever order they come. A key without a label, a label without a prediction, or
+    a key that occurs twice on either side is an error. regression: numbers; binary: scores; multiclass: a score for
+    each class; multilabel: an array of scores, decided at 0.5.
+    """
+    keys = list(keys)
+    for name, side in (("labels", labels), ("predictions", predictions)):
+        if not side.groupBy(*keys).count().where("count > 1").isEmpty():
+            raise ValueError(f"A key occurs twice in the {name}.")
+    missing = metrics.misaligned(predictions, labels, keys).first()
+    if missing["without_label"] or missing["without_prediction"]:
+        raise ValueError(f"Predictions and labels do not belong together: {missing.asDict()}")
+    rows = labels.select(*keys, "target").join(predictions.select(*keys, "pred"), keys).select("target", "pred")
+    if task_type == "regression":
+        return metrics.regression(rows)
+    if task_type == "binary":
+        return metrics.binary(rows)
+    if task_type == "multilabel":
+        return metrics.multilabel(rows)
+    if task_type != "multiclass":
+        raise ValueError(f"Unknown task type: {task_type!r}")
+    rows = cut_lineage(rows)
+    parts = [metrics.accuracy(rows), metrics.macro_f1(rows), metrics.softmax_macro_auc(rows).withColumnRenamed("roc_auc", "multiclass_roc_auc")]
+    # One row each.
+    return reduce(lambda a, b: a.withColumns({c: b.select(c).scalar() for c in b.columns}), parts)
+
+
+def report(results: Sequence[DataFrame]) -> DataFrame:
+    """The rows of many evaluations (see `evaluate`) in one table, in the order of RESULT_KEYS; a metric that a task type
+    lacks is null."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
+    measured = [m for m in (*REGRESSION_METRICS, *CLASSIFICATION_METRICS) if m in rows.columns]
+    return rows.select("dataset", "task", "task_type", "seed", *[f"{s}_rows" for s in _FITTED_ON], "baseline", "split", *measured)
+
+
 def export_csv(results: DataFrame, path: str) -> None:
     results.orderBy(*RESULT_KEYS).write.mode("overwrite").option("header", True).csv(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
@@ -87,7 +88,7 @@ class LabelJob:
         grids = observe.split_grids(first, last, val, test, self.delta, self.num_eval)
         return labels.split_labels(log, grids, test, self.build)
 
-    def evaluate(self, log: ObjectLog, val: datetime, test: datetime, seed: int = 42) -> DataFrame:
+    def evaluate(self, log: ObjectLog, val: datetime, test: datetime, seeds: Sequence[int] = (42,)) -> DataFrame:
         return baselines.evaluate(
             self.splits(log, val, test),
             self.keys,
@@ -95,7 +96,7 @@ class LabelJob:
             dataset=self.log,
             task=self.name,
             num_classes=len(self.classes),
-            seed=seed,
+            seeds=seeds,
         )
 
 

@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import argmax, one_hot, postprocess
+from ..functions.columns import argmax, one_hot, postprocess, to_micros, uniform
 from ..grid import Grid
 from ..operators import baselines, labels, metrics, observe, stats
 from ..session import shared_folder
@@ -296,6 +296,16 @@ def _(spark, folder):
 
 # -- baselines -------------------------------------------------------------
 
+def _random(seed: str, *more: str) -> str:
+    """The random baseline's number of a row, as `functions.columns.uniform` makes it."""
+    parts = " || '|' || ".join([seed, *more, "epoch_us(time)", "object_id"])
+    return f"(CAST('0x' || substr(md5({parts}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+def _seeds(seeds: tuple[int, ...]) -> str:
+    return f"(SELECT unnest({list(seeds)}) AS s)"
+
+
 _FITS = """
 , fitrow AS (
   SELECT 'train' AS fit, {t}.* FROM {t} WHERE split = 'train' UNION ALL SELECT 'trainval', {t}.* FROM {t} WHERE split IN ('train', 'val')),
@@ -332,26 +342,37 @@ def _(spark, folder):
     on_clicks(CLICK_SPLITS + _REGRESSION_PRED + "SELECT baseline, split, target, ROUND(pred, 6) AS pred FROM pred"),
 )
 def _(spark, folder):
-    return baselines.predict(labels.stack_splits(click_splits(spark, folder)), KEYS, "regression")
+    return baselines.predict(labels.stack_splits(click_splits(spark, folder)), KEYS, "regression").drop("seed")
 
 
-_CLASS_PRED = _FITS.format(t="cls") + """
-, pred AS (
-  SELECT split, target, unnest(['majority', 'entity_majority_multiclass']) AS baseline, unnest([majority, entity_majority]) AS c FROM known)
+_DRAWN = ", ".join(_random("'42'", f"'{k}'") for k in range(3))
+_CLASS_PRED = _FITS.format(t="cls") + f"""
+, said AS (
+  SELECT split, target, unnest(['majority', 'entity_majority_multiclass']) AS baseline, unnest([majority, entity_majority]) AS c FROM known),
+drawn AS (SELECT split, target, [{_DRAWN}] AS r FROM known),
+pred AS (
+  SELECT split, target, baseline, [CASE WHEN c = 0 THEN 1.0 ELSE 0.0 END, CASE WHEN c = 1 THEN 1.0 ELSE 0.0 END, CASE WHEN c = 2 THEN 1.0 ELSE 0.0 END]::DOUBLE[] AS p FROM said
+  UNION ALL SELECT split, target, 'random', [r[1] / (r[1] + r[2] + r[3]), r[2] / (r[1] + r[2] + r[3]), r[3] / (r[1] + r[2] + r[3])] FROM drawn)
 """
 
 
 @query(
     "baseline_majority_classes",
-    on_clicks(CLASS_LABELS + _CLASS_PRED + "SELECT baseline, split, CAST(target AS INTEGER) AS target, CAST(c AS INTEGER) AS pred FROM pred"),
+    on_clicks(CLASS_LABELS + _CLASS_PRED + "SELECT baseline, split, CAST(target AS INTEGER) AS target, CAST(list_position(p, list_max(p)) - 1 AS INTEGER) AS pred FROM pred"),
 )
 def _(spark, folder):
+    """The class that each baseline, the random one too, holds most likely."""
     stacked = labels.stack_splits(class_splits(spark, folder))
     pred = baselines.predict(stacked, KEYS, "multiclass", num_classes=baselines.class_count(stacked, 3))
-    return pred.where("baseline <> 'random'").select("baseline", "split", "target", argmax(F.col("pred")).alias("pred"))
+    return pred.select("baseline", "split", "target", argmax(F.col("pred")).alias("pred"))
 
 
-@query("baseline_random")
+@query(
+    "baseline_random",
+    on_clicks(CLASS_LABELS + _CLASS_PRED + """
+SELECT split, CAST(target AS INTEGER) AS target, ROUND(p[1], 6) AS p0, ROUND(p[2], 6) AS p1, ROUND(p[3], 6) AS p2 FROM pred WHERE baseline = 'random'
+"""),
+)
 def _(spark, folder):
     stacked = labels.stack_splits(class_splits(spark, folder))
     pred = baselines.predict(stacked, KEYS, "multiclass", num_classes=3).where("baseline = 'random'")
@@ -415,26 +436,31 @@ SELECT {g}, AVG(CASE WHEN (pred > 0.5) = (target = 1) THEN 1.0 ELSE 0.0 END) AS
 """
 
 
-@query(
-    "evaluate_binary",
-    on_clicks(BINARY_LABELS + _FITS.format(t="bin") + """
+def _binary_result(seeds: tuple[int, ...]) -> str:
+    return BINARY_LABELS + _FITS.format(t="bin") + f"""
 , pred AS (
-  SELECT split, target, unnest(['majority', 'entity_mean', 'entity_median']) AS baseline, unnest([majority, entity_mean, entity_median]) AS pred FROM known)
-""" + _auc("baseline, split", "pred") + ", hard AS (" + _HARD.format(g="baseline, split", s="pred") + f""")
-SELECT 'clicks' AS dataset, 'user_purchase_1d' AS task, 'binary' AS task_type, 42 AS seed, {_sizes('bin')}, h.baseline, h.split,
-  ROUND(h.accuracy, 6) AS accuracy, ROUND(h.f1, 6) AS f1, ROUND(a.auprc, 6) AS auprc, ROUND(a.roc_auc, 6) AS roc_auc,
-  CAST(NULL AS DOUBLE) AS multiclass_f1, CAST(NULL AS DOUBLE) AS multiclass_roc_auc
-FROM hard h JOIN auc a ON a.baseline = h.baseline AND a.split = h.split
-"""),
-)
+  SELECT split, target, unnest(['majority', 'entity_mean', 'entity_median']) AS baseline, 0 AS draw, unnest([majority, entity_mean, entity_median]) AS pred FROM known
+  UNION ALL SELECT split, target, 'random', s, {_random("s")} FROM known, {_seeds(seeds)})
+""" + _auc("baseline, draw, split", "pred") + ", hard AS (" + _HARD.format(g="baseline, draw, split", s="pred") + f""")
+, result AS (
+  SELECT 'clicks' AS dataset, 'user_purchase_1d' AS task, 'binary' AS task_type, s AS seed, {_sizes('bin')}, h.baseline, h.split,
+    ROUND(h.accuracy, 6) AS accuracy, ROUND(h.f1, 6) AS f1, ROUND(a.auprc, 6) AS auprc, ROUND(a.roc_auc, 6) AS roc_auc,
+    CAST(NULL AS DOUBLE) AS multiclass_f1, CAST(NULL AS DOUBLE) AS multiclass_roc_auc
+  FROM hard h JOIN auc a ON a.baseline = h.baseline AND a.split = h.split AND a.draw = h.draw
+  JOIN {_seeds(seeds)} ON h.baseline <> 'random' OR h.draw = s)
+"""
+
+
+@query("evaluate_binary", on_clicks(_binary_result((42,)) + "SELECT * FROM result"))
 def _(spark, folder):
-    result = evaluated(spark, folder, "user_purchase_1d")
-    return result.where("baseline <> 'random'")
+    return evaluated(spark, folder, "user_purchase_1d")
 
 
 _OVR = """
-, three AS (SELECT baseline, split, target AS label, c, unnest([0, 1, 2]) AS class FROM pred),
-one AS (SELECT baseline, split, class, CASE WHEN label = class THEN 1 ELSE 0 END AS target, CASE WHEN c = class THEN 1.0 ELSE 0.0 END AS pred FROM three)
+, three AS (SELECT baseline, split, target AS label, p, unnest([0, 1, 2]) AS class FROM pred),
+one AS (
+  SELECT baseline, split, class, CASE WHEN label = class THEN 1 ELSE 0 END AS target, ROUND(p[class + 1], 12) AS pred,
+    CASE WHEN list_position(p, list_max(p)) = class + 1 THEN 1.0 ELSE 0.0 END AS hit FROM three)
 """
 
 
@@ -442,9 +468,9 @@ one AS (SELECT baseline, split, class, CASE WHEN label = class THEN 1 ELSE 0 END
     "evaluate_multiclass",
     on_clicks(CLASS_LABELS + _CLASS_PRED + _OVR + _auc("baseline, split, class", "one") + f"""
 , f AS (
-  SELECT baseline, split, class, 2 * SUM(target * pred) / SUM(target + pred) AS f1 FROM one GROUP BY ALL HAVING SUM(target + pred) > 0),
+  SELECT baseline, split, class, 2 * SUM(target * hit) / SUM(target + hit) AS f1 FROM one GROUP BY ALL HAVING SUM(target + hit) > 0),
 ff AS (SELECT baseline, split, AVG(f1) AS f1 FROM f GROUP BY ALL),
-acc AS (SELECT baseline, split, AVG(CASE WHEN target = c THEN 1.0 ELSE 0.0 END) AS accuracy FROM pred GROUP BY ALL),
+acc AS (SELECT baseline, split, AVG(CASE WHEN target + 1 = list_position(p, list_max(p)) THEN 1.0 ELSE 0.0 END) AS accuracy FROM pred GROUP BY ALL),
 w AS (
   SELECT baseline, split, SUM(roc_auc * np) FILTER (WHERE roc_auc IS NOT NULL) / SUM(np) FILTER (WHERE roc_auc IS NOT NULL) AS weighted, AVG(roc_auc) AS macro
   FROM auc GROUP BY ALL)
@@ -455,8 +481,91 @@ FROM acc JOIN ff ON ff.baseline = acc.baseline AND ff.split = acc.split JOIN w O
 """),
 )
 def _(spark, folder):
-    result = evaluated(spark, folder, "user_next_event_1d")
-    return result.where("baseline <> 'random'")
+    return evaluated(spark, folder, "user_next_event_1d")
+
+
+@query(
+    "best_baseline_auc",
+    on_clicks(_binary_result((1, 2)) + """
+SELECT dataset, task, seed, baseline, roc_auc, ABS(roc_auc - MAX(roc_auc) OVER (PARTITION BY seed)) <= 1e-12 AS is_best
+FROM result WHERE split = 'test' AND baseline NOT LIKE 'entity%'
+"""),
+)
+def _(spark, folder):
+    """Classification baselines are compared by the area under the curve, more is better; for each seed."""
+    results = job("user_purchase_1d").evaluate(clicks(spark, folder), CLICKS_VAL, CLICKS_TEST, seeds=(1, 2))
+    return baselines.best(rounded(results), "roc_auc", higher=True)
+
+
+_REPORT_SEEDS = (1, 2, 3, 4, 5)
+
+@query(
+    "baseline_report",
+    on_clicks(_binary_result(_REPORT_SEEDS) + f"""
+, fit_r AS (
+  SELECT 'train' AS fit, lab.* FROM lab WHERE split = 'train' UNION ALL SELECT 'trainval', lab.* FROM lab WHERE split IN ('train', 'val')),
+use_r AS (SELECT *, CASE WHEN split = 'test' THEN 'trainval' ELSE 'train' END AS fit FROM lab),
+g_r AS (SELECT fit, AVG(target) AS mean, quantile_cont(target, 0.5) AS median FROM fit_r GROUP BY 1),
+e_r AS (SELECT fit, object_id, AVG(target) AS mean, quantile_cont(target, 0.5) AS median FROM fit_r GROUP BY 1, 2),
+pred_r AS (
+  SELECT u.split, u.target, unnest(['global_zero', 'global_mean', 'global_median', 'entity_mean', 'entity_median']) AS baseline,
+    unnest([0.0, g.mean, g.median, COALESCE(e.mean, g.mean), COALESCE(e.median, g.median)]) AS pred
+  FROM use_r u JOIN g_r g ON g.fit = u.fit LEFT JOIN e_r e ON e.fit = u.fit AND e.object_id = u.object_id),
+result_r AS (
+  SELECT 'clicks' AS dataset, 'user_purchase_count_1d' AS task, 'regression' AS task_type, s AS seed, {_sizes('lab')},
+    p.baseline, p.split, ROUND(AVG(ABS(p.target - p.pred)), 6) AS mae, ROUND(AVG(POW(p.target - p.pred, 2)), 6) AS mse,
+    ROUND(SQRT(AVG(POW(p.target - p.pred, 2))), 6) AS rmse, ROUND(1 - SUM(POW(p.target - p.pred, 2)) / SUM(POW(p.target - m.m, 2)), 6) AS r2
+  FROM pred_r p JOIN (SELECT split, AVG(target) AS m FROM lab GROUP BY 1) m ON m.split = p.split, {_seeds(_REPORT_SEEDS)} GROUP BY p.baseline, p.split, s)
+SELECT * FROM result_r UNION ALL BY NAME SELECT * FROM result
+"""),
+)
+def _(spark, folder):
+    """Two jobs over five seeds, in one table."""
+    log = clicks(spark, folder)
+    names = ("user_purchase_count_1d", "user_purchase_1d")
+    return baselines.report([job(n).evaluate(log, CLICKS_VAL, CLICKS_TEST, seeds=_REPORT_SEEDS) for n in names])
+
+
+def _given(stacked: DataFrame, *preds) -> DataFrame:
+    return stacked.where("split = 'test'").select("object_id", "time", *preds)
+
+
+@query(
+    "evaluate_given_regression",
+    on_clicks(CLICK_SPLITS + f"""
+, p AS (SELECT target, 3 * {_random("'7'")} AS pred FROM lab WHERE split = 'test')
+SELECT ROUND(AVG(ABS(target - pred)), 6) AS mae, ROUND(AVG(POW(target - pred, 2)), 6) AS mse, ROUND(SQRT(AVG(POW(target - pred, 2))), 6) AS rmse,
+  ROUND(1 - SUM(POW(target - pred, 2)) / SUM(POW(target - (SELECT AVG(target) FROM p), 2)), 6) AS r2 FROM p
+"""),
+)
+def _(spark, folder):
+    stacked = labels.stack_splits(click_splits(spark, folder))
+    said = _given(stacked, (3 * uniform(7, to_micros(F.col("time")), "object_id")).alias("pred"))
+    return baselines.evaluate_predictions(_given(stacked, "target"), said, ["object_id", "time"], "regression")
+
+
+_SCORES = ", ".join(f"exp({_random(chr(39) + '7' + chr(39), chr(39) + str(k) + chr(39))})" for k in range(3))
+
+
+@query(
+    "evaluate_given_classes",
+    on_clicks(CLASS_LABELS + f"""
+, pred AS (SELECT target, [{_SCORES}] AS p FROM cls WHERE split = 'test'),
+three AS (SELECT target AS label, p, unnest([0, 1, 2]) AS class FROM pred),
+one AS (
+  SELECT class, CASE WHEN label = class THEN 1 ELSE 0 END AS target, ROUND(p[class + 1] / list_sum(p), 12) AS pred,
+    CASE WHEN list_position(p, list_max(p)) = class + 1 THEN 1.0 ELSE 0.0 END AS hit FROM three)
+""" + _auc("class", "one") + """
+, f AS (SELECT class, 2 * SUM(target * hit) / SUM(target + hit) AS f1 FROM one GROUP BY ALL HAVING SUM(target + hit) > 0)
+SELECT (SELECT ROUND(AVG(CASE WHEN target + 1 = list_position(p, list_max(p)) THEN 1.0 ELSE 0.0 END), 6) FROM pred) AS accuracy,
+  (SELECT ROUND(AVG(f1), 6) FROM f) AS multiclass_f1, (SELECT ROUND(AVG(roc_auc), 6) FROM auc) AS multiclass_roc_auc
+"""),
+)
+def _(spark, folder):
+    stacked = labels.stack_splits(class_splits(spark, folder))
+    scores = F.array(*[uniform(7, F.lit(k), to_micros(F.col("time")), "object_id") for k in range(3)])
+    said = _given(stacked, scores.alias("pred"))
+    return baselines.evaluate_predictions(_given(stacked, "target"), said, ["object_id", "time"], "multiclass")
 
 
 @query(

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from objectlog.functions.ordered import quantiles, spread
-from objectlog.operators import stats
+from objectlog.operators import baselines, stats
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -75,3 +75,19 @@ def test_the_rest_imports_without_the_text_operators(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries(), any(q.startswith('op') and q[2].isdigit() for q in e.queries()))"
     told = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, check=True).stdout.split()
     assert int(told[0]) > 100 and told[1:] == ["False", "False"]
+
+
+def test_given_predictions_must_belong_to_the_labels(spark):
+    labels = spark.createDataFrame([("a", 1, 0.0), ("b", 1, 1.0), ("c", 2, 1.0)], "id string, at int, target double")
+    said = spark.createDataFrame([("c", 2, 0.9), ("a", 1, 0.2), ("b", 1, 0.4)], "id string, at int, pred double")
+    found = baselines.evaluate_predictions(labels, said, ["id", "at"], "binary").first()
+    assert found["roc_auc"] == 1.0 and found["accuracy"] == pytest.approx(2 / 3)
+    assert baselines.evaluate_predictions(labels, said, ["id", "at"], "regression").first()["mae"] == pytest.approx(0.3)
+    for wrong in (said.where("id <> 'a'"), said.unionByName(said.limit(1)), said.withColumn("at", F.lit(1))):
+        with pytest.raises(ValueError):
+            baselines.evaluate_predictions(labels, wrong, ["id", "at"], "binary")
+    with pytest.raises(ValueError):
+        baselines.evaluate_predictions(labels, said, ["id", "at"], "ranking")
+    many = labels.select("id", "at", F.array(F.col("target"), 1 - F.col("target")).alias("target"))
+    scores = said.select("id", "at", F.array(F.col("pred"), 1 - F.col("pred")).alias("pred"))
+    assert baselines.evaluate_predictions(many, scores, ["id", "at"], "multilabel").first()["multilabel_accuracy"] == pytest.approx(2 / 3)
