@@ -27,7 +27,6 @@ SEED = 7
 #: excess, and leaves a relative residual of RIDGE times how far a domain's rates are from 1.
 RIDGE = 0.05
 TOLERANCE = 1e-5
-STEPS = 200
 #: Where domains are to keep their tokens, documents whose rate is at most so far from 1 stay as they are.
 STEADY = 0.25
 OWN = ("n_tokens", "posteriors", "rate", "copies", "_key", "_f")
@@ -212,15 +211,13 @@ def fit_rates(members: DataFrame, totals: np.ndarray, natural: np.ndarray) -> li
     """
     history: list[list[float]] = []
     own = np.where(natural > 0, natural, 1.0)
-    now = natural
-    for _ in range(STEPS):
-        slope = (now - totals) / own
-        history.append(slope.tolist())
+    now, settled = natural, False
+    # Strongly convex, so the steps settle; how soon depends on RIDGE and on the domains, not on the number of rows.
+    while not settled:
+        history.append(((now - totals) / own).tolist())
         after = _expected(members, history)
         settled = np.abs(after - now).max() <= TOLERANCE * max(1.0, natural.sum())
         now = after
-        if settled:
-            break
     return history
 
 
@@ -265,7 +262,10 @@ def mix(
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "doc_id", "_key"), 11) / float(1 << 53)
     whole = F.floor("rate")
     drawn = whole + (draw < F.col("rate") - whole).cast("long")
-    known = members.groupBy("_key").agg(F.first("n").alias("n_tokens"), F.first("p").alias("posteriors"))
+    # Stored first, so that both sides of the join have an exchange and Spark can split a text that many rows repeat.
+    known = stored(
+        members.groupBy("_key").agg(F.first("n").alias("n_tokens"), F.first("p").alias("posteriors")), "mixing-known"
+    )
     return (
         without(docs, OWN)
         .withColumn("_key", key)

@@ -15,6 +15,8 @@ RULES = (
     ("net/es/", BLOCK),
     ("net/fr/", BLOCK),
 )
+#: Some 50 MB: rows of the gram tables are short.
+BROADCAST_ROWS = 500_000
 ORDER = 4
 DISCOUNT = 0.75
 OWN = ("host", "path", "rule", "verdict", "score", "_url", "_rule")
@@ -61,6 +63,11 @@ def _grams(texts: DataFrame) -> DataFrame:
     )
 
 
+def _way(table: DataFrame) -> str:
+    """How a join takes a stored table of short rows: broadcast up to BROADCAST_ROWS of them, else by sorting both sides."""
+    return "broadcast" if table.count() <= BROADCAST_ROWS else "merge"
+
+
 def _ratios(counts: DataFrame) -> DataFrame:
     """gram, ratio: log-likelihood of its last character after the others, accepted less rejected.
 
@@ -81,13 +88,14 @@ def _ratios(counts: DataFrame) -> DataFrame:
     )
     stats = stored(per_order.join(contexts, ["k", "context"]).drop("context"), "url-model")
     signs = stats.where("k = 0").count()
+    way = _way(stats)
     model = counts.select("gram", *[F.lit(1.0 / (signs + 1)).alias(f"{v}_p") for v in kinds])
     for k in range(ORDER + 1):
         level = stats.where(F.col("k") == k).select(
             F.col("tail").alias(f"_tail{k}"),
             *[F.col(f"{v}{x}").alias(f"{v}{x}{k}") for v in kinds for x in ("", "_all", "_kinds")],
         )
-        model = model.join(level, F.expr(f"right(gram, {k + 1})") == F.col(f"_tail{k}"))
+        model = model.join(level.hint(way), F.expr(f"right(gram, {k + 1})") == F.col(f"_tail{k}"))
         for v in kinds:
             seen, whole, sorts = (F.col(f"{v}{x}{k}") for x in ("", "_all", "_kinds"))
             shorter = F.col(f"{v}_p")
@@ -122,14 +130,14 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     )
     scores = stored(
         _grams(texts)
-        .join(_ratios(counts), "gram")
+        .join(_ratios(counts).hint(_way(counts)), "gram")
         .groupBy("_url", ALLOW, BLOCK)
         .agg(F.avg("ratio").alias("score")),
         "url-scores",
     )
     threshold = _threshold(scores)
     told = F.when(F.col("score") >= threshold, F.lit(ALLOW)).otherwise(F.lit(BLOCK))
-    return rows.join(scores.select("_url", "score"), "_url").select(
+    return rows.join(scores.select("_url", "score").hint("merge"), "_url").select(
         *same(kept), "host", "path", F.col("_rule.rule").alias("rule"), "score",
         F.coalesce(label, told).alias("verdict"),
     )
