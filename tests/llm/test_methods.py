@@ -276,12 +276,18 @@ def test_warc_links_over_the_request(spark):
     assert got["request"]["record_id"] == "q" and [m["record_id"] for m in got["metadata"]] == ["m", "n"]
 
 
-def test_copies_do_not_condemn_their_lines(spark):
-    rows = [(i, f"the same first line\nthe same second line\nedited {i} here", "s") for i in range(60)]
-    rows += [(100 + i, f"subscribe to our letter\nown words {i} of this text {i}\nand more {i}", "s") for i in range(60)]
+def test_lines_count_distinct_documents_of_a_host(spark):
+    """Plain counts: a line in over ten distinct texts of a host goes, with a block of ten such lines as with one."""
+    own = lambda i: f"own words {i} of this text {i}\nand more {i}"
+    block = [f"line {k} of the block" for k in range(10)]
+    rows = [(i, "\n".join([*block, own(i), "seen by ten"] if i < 10 else [*block, own(i)]), "s") for i in range(30)]
+    rows += [(100 + i, f"here eleven times\n{own(i)}", "s") for i in range(11)] + [(200 + i, f"one text again\n{own(7)}", "s") for i in range(40)]
+    rows += [(300 + i, f"line 0 of the block\n{own(300 + i)}", "t") for i in range(10)]
     got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
-    cut = {r["doc_id"] for r in got if r["left_words"] < r["n_words"]}
-    assert cut == set(range(100, 160))
+    left = {r["doc_id"]: (r["clean_text"] or "").split("\n") for r in got}
+    assert all(not set(block) & set(left[i]) and own(i).split("\n")[0] in left[i] for i in range(30))
+    assert all("seen by ten" in left[i] for i in range(10)) and not any("here eleven times" in left[100 + i] for i in range(11))
+    assert all("one text again" in left[200 + i] for i in range(40)) and all("line 0 of the block" in left[300 + i] for i in range(10))
 
 
 @pytest.mark.parametrize(("shared", "own"), [(2, 1), (5, 3), (10, 3), (10, 6), (10, 30)])
