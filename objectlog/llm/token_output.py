@@ -6,7 +6,8 @@ import gc
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,8 @@ CACHED_WORDS = 450_000
 _MARK = "\x01"
 _SPLIT = 2_000
 _PART = 4 << 20
-_SIGNED = re.compile(rb"([^\x00-`{-\x7f]*[a-z])([!-&(-/:-@\[-`{-~]+)")
+# ASCII signs between a letter and white space are a piece of their own, so they can stand apart as a word.
+_SIGNS = re.compile(rb"(?<=[a-z])([!-&(-/:-@\[-`{-~]+)(?=\s|$)")
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
@@ -32,7 +34,8 @@ class WordTokenizer:
 
     Words between white space are encoded once and kept. A full store of CACHED_WORDS words becomes the older one, from
     which words in use return, so memory is bounded whatever the vocabulary of the corpus; ids do not depend on it.
-    Signs of ASCII after a letter start a piece of their own, so a new word such as `word,` is put together from two.
+    Signs at the end of a word are set apart before, so `word,` is no new word. A word of ASCII letters is one piece for
+    the model itself; others go through the whole tokenizer, many at a time.
     """
 
     def __init__(self, path: str):
@@ -43,32 +46,21 @@ class WordTokenizer:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.mark = self._ids(_MARK)
+        self.letters = self._checked()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, words: set[bytes]) -> None:
-        known, older = self.known, self.older
-        pieces: set[bytes] = set()
-        composed: list[tuple[bytes, bytes, bytes]] = []
-        for w in words:
-            if w in older:
-                known[w] = older[w]
-            elif parts := _SIGNED.fullmatch(w):
-                composed.append((w, parts[1], parts[2]))
-                pieces.update(parts.groups())
-            else:
-                pieces.add(w)
-        self._encode_new([w for w in pieces if w not in known])
-        for w, stem, signs in composed:
-            known[w] = known[stem] + known[signs]
-
-    def _encode_new(self, words: list[bytes]) -> None:
+    def _learn(self, words: Iterable[bytes]) -> None:
         plain = []
+        pieces = self.tokenizer.model.tokenize
         for w in words:
             if w in self.older:
                 self.known[w] = self.older[w]
+            elif self.letters and w.isalpha() and w.isascii():
+                self.known[w] = array(self.code, [x.id for x in pieces(w.decode())]).tobytes()
             elif _MARK.encode() in w or len(self.mark) != 1:
                 self.known[w] = self._ids(w.decode("utf-8", "replace")).tobytes()
             else:
@@ -83,6 +75,16 @@ class WordTokenizer:
                 self.known[w] = data[first * width : end * width]
                 first = end + 1
 
+    def _checked(self) -> bool:
+        """True if letters reach the model as they are; an error if words do not stand for themselves in a text."""
+        words = ["one", "wordlike", "it's", "x9", "naïve"]
+        apart = np.concatenate([self._ids(w) for w in words])
+        if not all(np.array_equal(self._ids(t), apart) for t in (" ".join(words), "\n ".join(words).upper(), "\t".join(words))):
+            raise ValueError("The tokenizer joins text across white space or tells upper from lower case.")
+        if not np.array_equal(self._ids("word,;\nword."), self._ids("word ,;\nword .")):
+            raise ValueError("The tokenizer does not set signs apart from letters.")
+        return all([x.id for x in self.tokenizer.model.tokenize(w)] == self._ids(w).tolist() for w in ("one", "wordlike", "qzxjv"))
+
     def encode(self, texts: list[bytes], end: int) -> list[bytes]:
         """Little-endian ids of each text, with the end id."""
         out: list[bytes] = []
@@ -107,7 +109,7 @@ class WordTokenizer:
 
     def _encode_part(self, texts: list[bytes]) -> list[bytes]:
         # A text that may hold the name of a special token, which is case-sensitive, is encoded as it is.
-        words = [text.lower().split() if b"<|" not in text else [] for text in texts]
+        words = [_SIGNS.sub(rb" \1", text.lower()).split() if b"<|" not in text else [] for text in texts]
         found = [list(map(self.known.get, w)) for w in words]
         open_texts = [i for i, ids in enumerate(found) if None in ids]
         new: set[bytes] = set()
