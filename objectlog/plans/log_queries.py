@@ -133,6 +133,72 @@ def _(spark, folder):
     )
 
 
+def _documents(spark: SparkSession, lines: DataFrame, parts: dict[int, str], documents: int = 3) -> str:
+    """Write documents below a folder: `lines` (place, line) dealt out by hash, with a fixed text at each place of `parts`."""
+    path = f"{shared_folder(spark)}/documents-{uuid4().hex}"
+    fixed = F.array(*[F.struct(F.lit(at).alias("place"), F.lit(text).alias("line")) for at, text in parts.items()])
+    frame = spark.range(documents).select(F.col("id").cast("int").alias("document"), F.inline(fixed))
+    dealt = lines.select(F.pmod(F.hash("line"), F.lit(documents)).alias("document"), "place", "line")
+    whole = frame.unionByName(dealt).repartition("document").sortWithinPartitions("document", "place").select("document", "line")
+    whole.write.partitionBy("document").text(path)
+    return path
+
+
+@query(
+    "read_log_2",
+    on_clicks("""
+, seen AS (SELECT object_id, type, LEAST(time, TIMESTAMP '2024-01-05') AS time FROM c_object)
+SELECT 'event' AS "table", event_id AS id, type AS ref, time FROM c_event
+UNION ALL SELECT 'object', object_id, type, time FROM seen
+UNION ALL SELECT 'e2o', event_id, object_id, time FROM c_e2o
+UNION ALL SELECT 'o2o', l.object_id_src, l.object_id_dst, GREATEST(s.time, d.time)
+  FROM c_o2o l JOIN seen s ON s.object_id = l.object_id_src JOIN seen d ON d.object_id = l.object_id_dst
+UNION ALL SELECT 'event_attr_purchase', event_id, CAST(user_id AS VARCHAR), ts FROM (SELECT CONCAT('e', event_id) AS event_id, user_id, ts FROM events WHERE event_type = 'purchase')
+"""),
+)
+def _(spark, folder):
+    """Documents of the 2.0 shape, written and read end to end: text, elements, tables, times, types."""
+    place = F.when(F.col("kind") == "event", 1).otherwise(3).alias("place")
+    lines = _event_elements(spark, folder).select(place, F.concat("raw", F.lit(",")).alias("line"))
+    path = _documents(spark, lines, {0: '{"eventTypes":[],"objectTypes":[],"events":[', 2: 'null],"objects":[', 4: "null]}"})
+    log = json_docs.read_log(spark, path)
+    attrs = log["event_attr_purchase"].select("event_id", F.col("rank").cast("string").alias("rank"), "time")
+    return _rows(log.replace(event_attr_purchase=attrs), "event", "object", "e2o", "o2o", "event_attr_purchase")
+
+
+def _elements_1(spark: SparkSession, folder: str) -> DataFrame:
+    """The clicks log in the 1.0 shape: (place, line) of its events and objects."""
+    log = clicks(spark, folder)
+    links = log.e2o.groupBy("event_id").agg(F.collect_list(F.to_json(F.struct(
+        F.col("object_id").alias("ocel:oid"), F.col("qualifier").alias("ocel:qualifier")
+    ))).alias("links"))
+    value = table(spark, folder, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"), "user_id")
+    event = F.concat(
+        F.lit('"'), "event_id", F.lit('":{"ocel:activity":"'), "type", F.lit('","ocel:timestamp":"'), F.date_format("time", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+        F.lit('","ocel:omap":[],"ocel:typedOmap":['), F.concat_ws(",", "links"), F.lit('],"ocel:vmap":{"rank":'), F.col("user_id").cast("string"), F.lit("}},"),
+    )
+    events = log.event.join(links, "event_id").join(value, "event_id").select(F.lit(1).alias("place"), event.alias("line"))
+    body = F.concat(F.lit('"'), "object_id", F.lit('":{"ocel:type":"'), "type", F.lit('","ocel:ovmap":{}},'))
+    return events.unionByName(log.object.select(F.lit(3).alias("place"), body.alias("line")))
+
+
+@query(
+    "read_log_1",
+    on_clicks("""
+SELECT 'event' AS "table", event_id AS id, type AS ref, time FROM c_event
+UNION ALL SELECT 'object', object_id, type, time FROM c_object
+UNION ALL SELECT 'e2o', event_id, object_id, time FROM c_e2o
+UNION ALL SELECT 'event_attr_click', event_id, CAST(user_id AS VARCHAR), ts FROM (SELECT CONCAT('e', event_id) AS event_id, user_id, ts FROM events WHERE event_type = 'click')
+"""),
+)
+def _(spark, folder):
+    """Documents of the 1.0 shape, written and read end to end."""
+    parts = {0: '{"ocel:global-log":{"ocel:version":"1.0"},"ocel:events":{', 2: '"_":null},"ocel:objects":{', 4: '"_":null}}'}
+    log = json_docs.read_log(spark, _documents(spark, _elements_1(spark, folder), parts))
+    attrs = log["event_attr_click"].select("event_id", F.col("rank").cast("string").alias("rank"), "time")
+    return _rows(log.replace(event_attr_click=attrs), "event", "object", "e2o", "event_attr_click")
+
+
 @query(
     "json2_event_attributes",
     on_clicks("""
