@@ -16,7 +16,7 @@ from ..operators import components, graph, profile, transform, validate, vocab
 from ..session import shared_folder
 from ..sources import fixtures, json_docs, normalize, store
 from ..sources.fixtures import clicks, orders, table
-from .recipes import BASE_ROLES
+from .recipes import BASE_ROLES, Recipe
 from .registry import query
 from .views import on_clicks, on_orders
 
@@ -927,3 +927,49 @@ FROM stats ORDER BY objects DESC, events DESC, component DESC LIMIT 1
 )
 def _(spark, folder):
     return components.largest_share(components.component_stats(orders(spark, folder)))
+
+
+# -- recipes and schema checks ---------------------------------------------
+
+
+@query(
+    "recipe_log",
+    on_clicks("""
+, kept AS (SELECT * FROM c_event WHERE time >= TIMESTAMP '2024-01-05' AND time <= TIMESTAMP '2024-01-20'),
+links AS (SELECT * FROM c_e2o WHERE event_id IN (SELECT event_id FROM kept))
+SELECT 'event' AS "table", event_id AS id, type AS ref, time FROM kept
+UNION ALL SELECT 'object', object_id, type, time FROM c_object WHERE object_id IN (SELECT object_id FROM links)
+UNION ALL SELECT 'e2o', event_id, object_id, time FROM links
+UNION ALL SELECT 'event_attr_purchase', event_id, 'event_id,time', time FROM c_purchase WHERE event_id IN (SELECT event_id FROM kept)
+"""),
+)
+def _(spark, folder):
+    """A recipe's cuts on a log: event times kept, attribute columns left out, types normalised."""
+    recipe = Recipe(
+        val=fixtures.CLICKS_VAL, test=fixtures.CLICKS_TEST, drop=frozenset({"value"}), since=datetime(2024, 1, 5), until=datetime(2024, 1, 20)
+    )
+    log = recipe.prepare(clicks(spark, folder))
+    attrs = log["event_attr_purchase"]
+    shown = attrs.select("event_id", F.lit(",".join(sorted(attrs.columns))).alias("columns"), "time")
+    return _rows(log.replace(event_attr_purchase=shown), "event", "object", "e2o", "event_attr_purchase")
+
+
+@query(
+    "required_columns",
+    on_clicks("""
+SELECT unnest(['event', 'object', 'e2o', 'o2o']) AS "table", unnest(['lacks', 'lacks', 'lacks', 'lacks']) AS verdict,
+  unnest([(SELECT COUNT(*) FROM c_event), (SELECT COUNT(*) FROM c_object), (SELECT COUNT(*) FROM c_e2o), (SELECT COUNT(*) FROM c_o2o)]) AS "rows"
+"""),
+)
+def _(spark, folder):
+    """Each core table without its last required column is refused, whatever its rows."""
+    log, found = clicks(spark, folder), []
+    validate.require_columns(log)
+    for name, columns in validate.REQUIRED_COLUMNS.items():
+        try:
+            validate.require_columns(log.replace(**{name: log[name].drop(columns[-1])}))
+            verdict = "passed"
+        except validate.InvalidLog:
+            verdict = "lacks"
+        found.append(log[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), F.lit(verdict).alias("verdict"), "rows"))
+    return reduce(DataFrame.unionByName, found)

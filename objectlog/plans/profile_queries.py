@@ -342,3 +342,20 @@ def _(spark, folder):
     return quantiles(
         table(spark, folder, "orders"), ["o_orderstatus", "o_orderpriority"], F.col("o_totalprice"), {"q25": 0.25, "q99": 0.99}
     )
+
+
+@query(
+    "find_columns",
+    on_clicks("""
+SELECT 'event_attr_purchase' AS "table", 'value' AS "column", COUNT(value) AS filled FROM c_purchase
+UNION ALL SELECT 'e2o', 'qualifier', COUNT(qualifier) FROM c_e2o UNION ALL SELECT 'o2o', 'qualifier', COUNT(qualifier) FROM c_o2o
+"""),
+)
+def _(spark, folder):
+    """Tables with columns of these names, in any case, and how many rows fill them."""
+    log, counted = clicks(spark, folder), []
+    for name, (kinds, _preview) in profile.find_columns(log, ["VALUE", "Qualifier"]).items():
+        for column, _kind in kinds:
+            filled = log[name].agg(F.count(column).alias("filled"))
+            counted.append(filled.select(F.lit(name).alias("table"), F.lit(column).alias("column"), "filled"))
+    return reduce(DataFrame.unionByName, counted)

@@ -12,6 +12,7 @@ from ..functions.columns import argmax, one_hot, postprocess, to_micros, uniform
 from ..grid import Grid
 from ..operators import baselines, labels, metrics, observe, stats
 from ..session import shared_folder
+from ..sources import store
 from ..sources.fixtures import CLICKS_TEST, CLICKS_VAL, DAY, clicks, table
 from .jobs import SAMPLE_JOBS, job
 from .label_queries import CLICK_SPLITS, TYPES, click_splits
@@ -763,3 +764,61 @@ def _(spark, folder):
         top.alias("top"),
         F.get(one_hot(top, 5), F.lit(1)).alias("hot"),
     )
+
+
+# -- stored labels, job descriptions, recipes ------------------------------
+
+
+@query(
+    "stored_labels",
+    on_clicks(BINARY_LABELS.replace(", bin AS", CLASS_LABELS.removeprefix(CLICK_SPLITS) + ", bin AS") + """
+SELECT 'user_next_event_1d' AS job, split, object_id, time, CAST(target AS DOUBLE) AS target FROM cls
+UNION ALL SELECT 'user_purchase_1d', split, object_id, time, CAST(target AS DOUBLE) FROM bin
+"""),
+)
+def _(spark, folder):
+    """Label tables of two jobs, built once, stored by job and split, and read back."""
+    log, path = clicks(spark, folder), f"{shared_folder(spark)}/labels-{uuid4().hex}"
+    names = ("user_next_event_1d", "user_purchase_1d")
+    for name in names:
+        store.save_labels(job(name).splits(log, CLICKS_VAL, CLICKS_TEST), path, name)
+    read = [labels.stack_splits(store.load_labels(spark, path, n)).withColumn("job", F.lit(n)) for n in names]
+    return reduce(DataFrame.unionByName, read).select("job", "split", "object_id", "time", F.col("target").cast("double").alias("target"))
+
+
+@query(
+    "label_meta",
+    on_clicks(CLICK_SPLITS + """
+SELECT 'object_id' AS key, 'object' AS refers_to, COUNT(*) AS labels, COUNT(*) - COUNT(o.object_id) AS dangling
+FROM lab LEFT JOIN c_object o ON o.object_id = lab.object_id
+"""),
+)
+def _(spark, folder):
+    """The foreign keys that a job declares for its label table, checked on its rows."""
+    one, log = job("user_purchase_count_1d"), clicks(spark, folder)
+    rows = labels.stack_splits(one.splits(log, CLICKS_VAL, CLICKS_TEST))
+    found = []
+    for key, target in one.meta.fks.items():
+        known = log[target].select(F.col(log.meta[target].pk).alias(key), F.lit(1).alias("_known"))
+        counts = rows.join(known, key, "left").agg(F.count(F.lit(1)).alias("labels"), F.count_if(F.col("_known").isNull()).alias("dangling"))
+        found.append(counts.select(F.lit(key).alias("key"), F.lit(target).alias("refers_to"), "labels", "dangling"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "baseline_sets",
+    on_clicks(BINARY_LABELS.replace(", bin AS", CLASS_LABELS.removeprefix(CLICK_SPLITS) + ", bin AS") + """
+SELECT 'regression' AS task_type, unnest(['global_zero', 'global_mean', 'global_median', 'entity_mean', 'entity_median']) AS baseline, (SELECT COUNT(*) FROM lab) AS predictions
+UNION ALL SELECT 'binary', unnest(['random', 'majority', 'entity_mean', 'entity_median']), (SELECT COUNT(*) FROM bin)
+UNION ALL SELECT 'multiclass', unnest(['random', 'majority', 'entity_majority_multiclass']), (SELECT COUNT(*) FROM cls)
+"""),
+)
+def _(spark, folder):
+    """Which baselines a task type has: each predicts every label."""
+    stacked = {"regression": click_splits(spark, folder), "binary": binary_splits(spark, folder), "multiclass": class_splits(spark, folder)}
+    counted = [
+        baselines.predict(labels.stack_splits(splits), KEYS, kind, num_classes=3)
+        .groupBy("baseline").agg(F.count(F.lit(1)).alias("predictions")).select(F.lit(kind).alias("task_type"), "baseline", "predictions")
+        for kind, splits in stacked.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)

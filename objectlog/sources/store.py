@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import E2O, EVENT, ObjectLog, TableMeta
@@ -13,6 +14,7 @@ from .normalize import normalize
 
 _BY_DAY = (EVENT, E2O)
 _META = "meta"
+SPLITS = ("train", "val", "test")
 
 
 def save(log: ObjectLog, path: str, *, typed_links: bool = False) -> None:
@@ -59,3 +61,14 @@ def load(
         tables[name] = df
     log = ObjectLog(tables, meta)
     return log if normalized is False else normalize(log)
+
+
+def save_labels(splits: Mapping[str, DataFrame], path: str, job: str) -> None:
+    """Write the label tables of a job, a folder for each split; what was stored for the job before is replaced."""
+    for split, df in splits.items():
+        df.write.mode("overwrite").parquet(f"{path}/{job}/{split}")
+
+
+def load_labels(spark: SparkSession, path: str, job: str, splits: Sequence[str] = SPLITS) -> dict[str, DataFrame]:
+    """The stored label tables of a job by split; runs no job on their rows."""
+    return {split: spark.read.parquet(f"{path}/{job}/{split}") for split in splits}
