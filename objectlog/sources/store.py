@@ -17,12 +17,17 @@ _META = "meta"
 SPLITS = ("train", "val", "test")
 
 
-def save(log: ObjectLog, path: str, *, typed_links: bool = False) -> None:
+def save(log: ObjectLog, path: str, *, typed_links: bool = False, normalized: bool = True) -> None:
     """Write every table; `event` and `e2o` by day, balanced whatever the day's size.
 
+    Column types are settled here (unless not `normalized`), so that loading has
+    nothing to look up in the rows.
+
     `typed_links` adds the joined link table by object type, which label jobs then
     read without any join.
     """
+    if normalized:
+        log = normalize(log)
     if typed_links:
         log = log.with_typed_links()
     spark = log.event.sparkSession
@@ -35,7 +40,8 @@ def save(log: ObjectLog, path: str, *, typed_links: bool = False) -> None:
             df.hint("rebalance", "object_type").write.mode("overwrite").partitionBy("object_type").parquet(target)
         else:
             df.write.mode("overwrite").parquet(target)
-    meta = {n: {"pk": m.pk, "fks": dict(m.fks), "time_col": m.time_col} for n, m in log.meta.items()}
+    tables = {n: {"pk": m.pk, "fks": dict(m.fks), "time_col": m.time_col} for n, m in log.meta.items()}
+    meta = {"normalized": normalized, "tables": tables}
     spark.range(1).select(F.lit(json.dumps(meta)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/{_META}")
 
 
@@ -47,8 +53,12 @@ def load(
     until: date | None = None,
     normalized: bool = True,
 ) -> ObjectLog:
-    """Read a stored log; days outside [since, until] of `event` and `e2o` are not read."""
-    meta = {n: TableMeta(**m) for n, m in json.loads(spark.read.text(f"{path}/{_META}").first()[0]).items()}
+    """Read a stored log; days outside [since, until] of `event` and `e2o` are not read.
+
+    No job looks at the rows, but where the log was stored without settled types and `normalized` asks for them.
+    """
+    stored = json.loads(spark.read.text(f"{path}/{_META}").first()[0])
+    meta = {n: TableMeta(**m) for n, m in stored["tables"].items()}
     tables = {}
     for name in meta:
         df = spark.read.parquet(f"{path}/{name}")
@@ -60,7 +70,7 @@ def load(
             df = df.drop("day")
         tables[name] = df
     log = ObjectLog(tables, meta)
-    return log if normalized is False else normalize(log)
+    return normalize(log) if normalized and not stored["normalized"] else log
 
 
 def save_labels(splits: Mapping[str, DataFrame], path: str, job: str) -> None:
