@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hours_between
 from ..functions.ordered import fold
 from ..model import ObjectLog
-from ..session import cut_lineage
+from ..session import cut_lineage, remove, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -29,9 +29,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
+def _round(edges: DataFrame) -> tuple[DataFrame, dict, str]:
+    """The edges as a table, with a fingerprint of the set that the write measures."""
     code = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), code).first())
+    return written(edges, "stars", n=F.count(F.lit(1)), code=code)
 
 
 def stars(edges: DataFrame) -> DataFrame:
@@ -39,16 +40,16 @@ def stars(edges: DataFrame) -> DataFrame:
 
     Alternates the two star steps until the edge set stops changing, which it does,
     as every round with a change moves some node to a smaller one. Each round
-    is checkpointed, so the plan stays short and a lost executor costs one round.
+    is one job that writes a table in the shared folder, so the plan stays short and
+    a lost executor costs one round; the round before it is deleted.
     """
-    edges = cut_lineage(edges)
-    state = _state(edges)
+    edges, state, path = _round(edges)
     while True:
-        edges = cut_lineage(_small_star(_large_star(edges)))
-        after = _state(edges)
-        if after == state:
+        last, before = path, state
+        edges, state, path = _round(_small_star(_large_star(edges)))
+        remove(edges.sparkSession, last)
+        if state == before:
             return edges.select(F.col("u").alias("object_id"), F.col("v").alias("component"))
-        state = after
 
 
 def object_components(log: ObjectLog) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Runtime SQL settings. The UTC zone makes zone-free timestamps plain numbers. A
 # skewed join is split even where that costs one more exchange: without the last
@@ -46,3 +47,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder; survives executor loss."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict, str]:
+    """`df` written to the shared folder and read back, aggregates measured by the write itself, and the path.
+
+    One job, where a checkpoint takes two (it computes its last stage again) and a measure a third.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    seen = Observation()
+    df.observe(seen, *[c.alias(n) for n, c in measures.items()]).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get, path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of `written` that no plan reads any more, on whatever store it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
