@@ -107,13 +107,17 @@ def stage_related_count(
     target: str,
     max_age: timedelta | None = None,
 ) -> DataFrame:
-    """Distinct other objects of a type that share a `target` event in the window."""
+    """Distinct other objects of a type that share a `target` event in the window.
+
+    Links are cut to the windows of candidates before they meet the related objects
+    of their events.
+    """
     candidates = observe.stage_candidates(log, object_type, grid, source, max_age)
-    shared = observe.pair_links(log, (object_type, related_type), target)
-    future = observe.future_slots(shared, grid, delta)
-    counts = future.groupBy(F.col(PAIR[0]).alias("object_id"), "slot").agg(
-        F.count_distinct(PAIR[1]).alias("n")
-    )
+    future = observe.future_slots(log.links_of(object_type, target).select("object_id", "event_id", "time"), grid, delta)
+    own = candidates.join(future, ["object_id", "slot"]).select("object_id", "slot", "event_id").distinct()
+    related = log.links_of(related_type, target).select("event_id", F.col("object_id").alias("other")).distinct()
+    met = observe.meet(own, related).where(F.col("object_id") != F.col("other"))
+    counts = met.groupBy("object_id", "slot").agg(F.count_distinct("other").alias("n"))
     joined = candidates.join(counts, ["object_id", "slot"], "left")
     return timed(joined, SINGLE, grid, F.coalesce("n", F.lit(0)).cast("double").alias("target"))
 

@@ -21,6 +21,8 @@ from ..model import ObjectLog
 SINGLE = ("object_id",)
 PAIR = ("object_id_src", "object_id_dst")
 SPLITS = ("train", "val", "test")
+#: Rows of one event and side that meet in one task.
+BLOCK = 2048
 
 
 # -- grids -----------------------------------------------------------------
@@ -62,13 +64,20 @@ def grid_frame(spark: SparkSession, grids: dict[str, Grid]) -> DataFrame:
 # -- slots -----------------------------------------------------------------
 
 
-def past_slots(links: DataFrame, keys: Sequence[str], grid: Grid, delta: timedelta) -> DataFrame:
-    """Distinct (keys, slot) with an event in `(t - delta, t]`."""
+def past_runs(links: DataFrame, keys: Sequence[str], grid: Grid, delta: timedelta) -> DataFrame:
+    """(keys, _a, _b): runs of slots with an event in `(t - delta, t]`; they may overlap."""
     first = grid.slot_from(F.col("time"))
     last = grid.slot_from_shifted(F.col("time"), whole_seconds(delta)) - 1
     runs = links.withColumns({"_a": first, "_b": last}).where("_a <= _b")
-    runs = runs.groupBy(*keys, "_a").agg(F.max("_b").alias("_b"))
-    return span(runs, F.col("_a"), F.col("_b")).select(*keys, "slot").distinct()
+    return runs.groupBy(*keys, "_a").agg(F.max("_b").alias("_b"))
+
+
+def disjoint(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs (`_a` to `_b`) without the slots that earlier ones of the same key cover."""
+    order = Window.partitionBy(*keys).orderBy("_a", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_covered", F.max("_b").over(order))
+    start = F.greatest(F.col("_a"), F.coalesce(F.col("_covered") + 1, F.col("_a")))
+    return runs.withColumn("_a", start).where("_a <= _b").drop("_covered")
 
 
 def future_slots(links: DataFrame, grid: Grid, delta: timedelta) -> DataFrame:
@@ -80,6 +89,34 @@ def future_slots(links: DataFrame, grid: Grid, delta: timedelta) -> DataFrame:
 # -- links of pairs --------------------------------------------------------
 
 
+def meet(src: DataFrame, dst: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The equi-join of both sides on `event_id`, heavy events in blocks.
+
+    An event with more than `block` rows on a side is cut: its rows go to blocks of
+    about that many, each copied once for every block of the other side. So no task
+    forms more than about block² rows of one event, and a row is copied once for every
+    `block` partners that it has. Only heavy events enter the table of block counts.
+    """
+    heavy = [
+        side.groupBy("event_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(
+            "event_id", F.ceil(F.col("_n") / block).cast("int").alias(f"_of{i}")
+        )
+        for i, side in enumerate((src, dst))
+    ]
+    blocks = heavy[0].join(heavy[1], "event_id", "full_outer")
+
+    def placed(side: DataFrame, own: int, other: int) -> DataFrame:
+        parts, copies = (F.coalesce(f"_of{i}", F.lit(1)) for i in (own, other))
+        return side.join(blocks, "event_id", "left").select(
+            *side.columns,
+            F.pmod(F.xxhash64(*side.columns), parts).cast("int").alias(f"_block{own}"),
+            F.explode(F.sequence(F.lit(0), copies - 1)).alias(f"_block{other}"),
+        )
+
+    keys = ["event_id", "_block0", "_block1"]
+    return placed(src, 0, 1).join(placed(dst, 1, 0), keys).drop("_block0", "_block1")
+
+
 def pair_links(
     log: ObjectLog,
     object_types: tuple[str, str],
@@ -88,7 +125,8 @@ def pair_links(
     """One row per event and pair of two different objects of the given types.
 
     `weight` counts the combinations of duplicate links. Both sides are reduced
-    to their type, and duplicates folded, before they meet.
+    to their type, and duplicates folded, before they meet; heavy events meet in
+    blocks.
     """
     sides = []
     for kind, name in zip(object_types, PAIR):
@@ -101,7 +139,7 @@ def pair_links(
         )
     src, dst = sides[0], sides[1].drop("type", "time")
     return (
-        src.join(dst, "event_id")
+        meet(src, dst)
         .where(F.col(PAIR[0]) != F.col(PAIR[1]))
         .withColumn("weight", F.col(f"_n_{PAIR[0]}") * F.col(f"_n_{PAIR[1]}"))
         .drop(f"_n_{PAIR[0]}", f"_n_{PAIR[1]}")
@@ -232,11 +270,18 @@ def active_candidates(log: ObjectLog, object_type: str, grid: Grid, delta: timed
 
 
 def _active(log: ObjectLog, object_type: str, grid: Grid, delta: timedelta, name: str) -> DataFrame:
+    """(name, _a, _b): disjoint runs of slots in which an object is active."""
     links, members = log.links_and_members(object_type)
-    slots = past_slots(links, SINGLE, grid, delta)
+    runs = past_runs(links, SINGLE, grid, delta)
     if members is not None:
-        slots = slots.join(members.select("object_id"), "object_id", "left_semi")
-    return slots.withColumnRenamed("object_id", name)
+        runs = runs.join(members.select("object_id"), "object_id", "left_semi")
+    return disjoint(runs, SINGLE).withColumnRenamed("object_id", name)
+
+
+def _spread_pairs(runs: Sequence[DataFrame]) -> DataFrame:
+    """(src, dst, slot) of runs of both sides: overlaps go while rows are runs, slots come last."""
+    merged = disjoint(reduce(DataFrame.unionByName, runs).where("_a <= _b"), PAIR)
+    return span(merged, F.col("_a"), F.col("_b")).select(*PAIR, "slot")
 
 
 def observed_pair_candidates(
@@ -244,7 +289,7 @@ def observed_pair_candidates(
 ) -> DataFrame:
     """(src, dst, slot): met strictly before t, both seen by t, one of them active.
 
-    Pairs are folded to their first meeting, then meet the active slots of either
+    Pairs are folded to their first meeting, then meet the active runs of either
     side; grid times without activity never appear.
     """
     src, dst = PAIR
@@ -258,11 +303,13 @@ def observed_pair_candidates(
             grid.slot_after(F.col("met")), grid.slot_from(F.col("_s")), grid.slot_from(F.col("_d"))
         ).alias("_from"),
     )
-    sides = [
-        known.join(_active(log, kind, grid, delta, name), name)
-        for kind, name in zip(object_types, PAIR)
-    ]
-    return reduce(DataFrame.unionByName, sides).where("slot >= _from").select(src, dst, "slot").distinct()
+    start = F.greatest("_from", "_a").alias("_a")
+    return _spread_pairs(
+        [
+            known.join(_active(log, kind, grid, delta, name), name).select(*PAIR, start, "_b")
+            for kind, name in zip(object_types, PAIR)
+        ]
+    )
 
 
 def cartesian_pair_candidates(
@@ -271,22 +318,27 @@ def cartesian_pair_candidates(
     """(src, dst, slot): both seen by t, different, at least one active.
 
     The result is a product by definition. Only active × seen combinations are
-    formed, by equi-joins on the slot spread over `spread` parts.
+    formed: active runs of slots meet the objects seen before they end, in
+    `spread` × `spread` blocks of both sides. No object is copied for a slot before
+    the pairs are formed and their runs merged.
     """
+    every = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
     seen, active = {}, {}
     for kind, name in zip(object_types, PAIR):
         first = log.objects_of(kind).groupBy(F.col("object_id").alias(name)).agg(F.min("time").alias("_seen"))
         first = first.where("_seen IS NOT NULL").select(name, grid.slot_from(F.col("_seen")).alias("_from"))
         seen[name] = first
-        active[name] = _active(log, kind, grid, delta, name).join(first, name).where("slot >= _from").drop("_from")
+        active[name] = _active(log, kind, grid, delta, name).join(first, name).select(
+            name, F.greatest("_a", "_from").alias("_a"), "_b"
+        )
     parts = []
     for one, other in (PAIR, PAIR[::-1]):
-        spread_out = active[one].withColumn("_part", F.pmod(F.xxhash64(one), F.lit(spread)).cast("int"))
-        copied = span(seen[other], F.col("_from"), F.lit(grid.n - 1)).withColumn(
-            "_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
-        )
-        parts.append(spread_out.join(copied, ["slot", "_part"]).select(*PAIR, "slot"))
-    return reduce(DataFrame.unionByName, parts).where(F.col(PAIR[0]) != F.col(PAIR[1])).distinct()
+        own = lambda *cols: F.pmod(F.xxhash64(*cols), F.lit(spread)).cast("int")
+        runs = active[one].where("_a <= _b").select("*", own(one, "_a").alias("_block0"), every.alias("_block1"))
+        objects = seen[other].select("*", own(other).alias("_block1"), every.alias("_block0"))
+        met = runs.join(objects, ["_block0", "_block1"]).where((F.col("_from") <= F.col("_b")) & (F.col(one) != F.col(other)))
+        parts.append(met.select(*PAIR, F.greatest("_a", "_from").alias("_a"), "_b"))
+    return _spread_pairs(parts)
 
 
 def timed(slots: DataFrame, keys: Sequence[str], grid: Grid, *columns: Column | str) -> DataFrame:

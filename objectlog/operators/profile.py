@@ -231,7 +231,7 @@ def weekly_stability(events: DataFrame, hours: int, min_events: int = 200) -> Da
     )
     left, right = filled.alias("a"), filled.alias("b")
     pairs = (
-        left.join(right, F.expr("a.cell = b.cell AND a.week <> b.week"))
+        left.join(right, F.expr("a.cell = b.cell AND a.week < b.week"))
         .groupBy(F.col("a.week").alias("week"), F.col("b.week").alias("other"))
         .agg(
             F.when(
@@ -239,11 +239,19 @@ def weekly_stability(events: DataFrame, hours: int, min_events: int = 200) -> Da
             ).alias("r")
         )
     )
-    spread = pairs.agg(
-        F.avg("r").alias("corr_mean"),
-        F.stddev_samp("r").alias("corr_std"),
-        F.min("r").alias("corr_min"),
-        F.percentile("r", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q"),
+    # The correlation is symmetric: each pair counts for both of its orders.
+    value, n = F.col("_value"), F.col("_n")
+    alike = quantiles(
+        pairs,
+        [],
+        F.col("r"),
+        {"corr_p10": 0.1, "corr_p50": 0.5, "corr_p90": 0.9},
+        weight=F.lit(2),
+        extra=[
+            (F.sum(value * n) / F.sum(n)).alias("corr_mean"),
+            F.sqrt(spread() / (F.sum(n) - 1)).alias("corr_std"),
+            F.min(value).alias("corr_min"),
+        ],
     )
     size = kept.agg(
         F.lit(hours).alias("interval_hours"),
@@ -251,15 +259,15 @@ def weekly_stability(events: DataFrame, hours: int, min_events: int = 200) -> Da
         F.count_distinct("weekday", "bucket").alias("active_cells"),
     )
     # Two single-row frames.
-    return size.join(spread, F.lit(True), "left").select(
+    return size.join(alike, F.lit(True), "left").select(
         "interval_hours",
         "weeks_ge_min_events",
         "corr_mean",
         "corr_std",
         "corr_min",
-        F.get("q", F.lit(0)).alias("corr_p10"),
-        F.get("q", F.lit(1)).alias("corr_p50"),
-        F.get("q", F.lit(2)).alias("corr_p90"),
+        "corr_p10",
+        "corr_p50",
+        "corr_p90",
         "active_cells",
     )
 

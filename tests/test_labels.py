@@ -168,3 +168,59 @@ def test_grid_positions():
     assert train.joins(val) and train.start >= START and train.start - 7 * HOUR < START
     assert val.start + val.step * (val.n - 1) <= START + 73 * HOUR
     assert test.start == START + 80 * HOUR and test.n == 2
+
+
+def test_heavy_events_meet_in_blocks(spark):
+    """An event with a third of all links: the plain join's rows, but never more than a block of them under one key."""
+    at = F.pmod(F.xxhash64("id"), F.lit(3))
+    event = F.when(at == 0, "hot").otherwise(F.concat(F.lit("e"), F.pmod("id", F.lit(300)).cast("string")))
+    src = spark.range(900).select(event.alias("event_id"), F.col("id").alias("s"))
+    dst = spark.range(600).select(event.alias("event_id"), (-F.col("id")).alias("d"))
+    met = observe.meet(src, dst, block=50).cache()
+    plain = src.join(dst, "event_id")
+    assert met.columns == ["event_id", "s", "d"] and met.count() == plain.count() == met.distinct().count()
+    assert met.exceptAll(plain).count() == 0
+    assert "_block0" in met._jdf.queryExecution().optimizedPlan().toString()
+    assert observe.meet(src.where("false"), dst, block=50).count() == 0
+
+
+def test_pairs_of_a_heavy_event(make_log, monkeypatch):
+    """Labels over pairs do not depend on the size of the blocks."""
+    rng = random.Random(8)
+    objects = {f"u{i}": "T" for i in range(12)} | {f"k{i}": "U" for i in range(9)}
+    events = [("hot", "b", START + 30 * HOUR, list(objects))]
+    events += [(f"e{i}", rng.choice(TYPES), START + HOUR * rng.randrange(48), rng.sample(list(objects), 3)) for i in range(30)]
+    log = make_log(objects, events)
+    grid = Grid.regular(START + 10 * HOUR, 5 * HOUR, 7)
+    builders = (
+        lambda: labels.stage_related_count(log, "T", "U", grid, 9 * HOUR, "a", "b"),
+        lambda: labels.pair_event_count(log, ("T", "U"), grid, 9 * HOUR, "a", "b"),
+        lambda: labels.window_event_counts(log, ("T", "U"), grid, 9 * HOUR, TYPES, pair_mode="cartesian"),
+    )
+    whole = [sorted(map(tuple, build().collect())) for build in builders]
+    plain, used = observe.meet, []
+
+    def small(src, dst):
+        used.append(1)
+        return plain(src, dst, block=4)
+
+    monkeypatch.setattr(observe, "meet", small)
+    assert [sorted(map(tuple, build().collect())) for build in builders] == whole and len(used) == 3 and all(whole)
+
+
+def test_cartesian_pairs_by_brute_force(make_log):
+    rng = random.Random(9)
+    objects = {f"u{i}": "T" for i in range(5)} | {f"k{i}": "U" for i in range(4)}
+    events = [(f"e{i:02d}", "a", START + HOUR * rng.randrange(60), rng.sample(list(objects), 2)) for i in range(25)]
+    log = make_log(objects, events)
+    grid, delta = Grid.regular(START + 3 * HOUR, 4 * HOUR, 14), 6 * HOUR
+    seen = {o: min((t for _, _, t, ids in events if o in ids), default=START) for o in objects}
+    times = [grid.start + grid.step * i for i in range(grid.n)]
+    active = {(o, i) for i, t in enumerate(times) for _, _, m, ids in events for o in ids if t - delta < m <= t}
+    want = sorted(
+        (s, d, i)
+        for s in objects for d in objects for i, t in enumerate(times)
+        if objects[s] == "T" and objects[d] == "U" and seen[s] <= t and seen[d] <= t and {(s, i), (d, i)} & active
+    )
+    got = observe.cartesian_pair_candidates(log, ("T", "U"), grid, delta)
+    assert sorted(map(tuple, got.collect())) == want
