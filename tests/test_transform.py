@@ -152,3 +152,29 @@ def test_validation_names_broken_rules(make_log, spark):
     twice = log.replace(event=log.event.unionByName(log.event))
     found = {(r.rule, r.table): r.n_bad for r in validate.validate(twice).where(F.col("n_bad") > 0).collect()}
     assert found == {("unique", "event"): 1}
+
+
+def test_components_run_on_numbers(make_log, spark):
+    """Events of one to six links, repeats and unknown ends among them; rounds only see long codes."""
+    picks = [[(7 * e + k * k) % 90 for k in range(e % 6 + 1)] + ([(7 * e) % 90] if e % 4 == 0 else []) for e in range(60)]
+    above = {o: o for o in range(90)}
+
+    def top(o):
+        while above[o] != o:
+            o = above[o]
+        return o
+
+    for event in picks:
+        for o in event[1:]:
+            above[top(o)] = top(event[0])
+    wanted: dict[int, set] = {}
+    for o in range(90):
+        wanted.setdefault(top(o), set()).add(f"o{o:02d}")
+    log = simple(make_log, [(f"o{o:02d}", "T") for o in range(90)], [(f"e{e}", [f"o{o:02d}" for o in ids]) for e, ids in enumerate(picks)])
+    log = log.replace(e2o=log.e2o.unionByName(log.e2o.limit(3).withColumn("event_id", F.lit(None).cast("string"))))
+    assert groups(log) == {min(ids): ids for ids in wanted.values()}
+    path = spark.range(500).select(F.xxhash64("id").alias("u"), F.xxhash64(F.col("id") + 1).alias("v"))
+    found = components.contracted(path)
+    assert found.select("code", "root").dtypes == [("code", "bigint"), ("root", "bigint")]
+    assert found.agg(F.count_distinct("root"), F.count_distinct("code")).first()[:] == (1, 501)
+    assert components.contracted(path.limit(0)).count() == 0
