@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import SparkSession
 
 from ..model import ObjectLog
-from ..operators.transform import from_event_time, upto_event_time
+from ..operators.transform import from_event_time, upto_event_time, within_event_time
 from ..sources.json_docs import read_log
 from ..sources.normalize import drop_attributes, normalize
 
@@ -36,9 +36,11 @@ class Recipe:
         return {**BASE_ROLES, **self.roles}
 
     def prepare(self, log: ObjectLog) -> ObjectLog:
-        if self.since is not None:
+        if self.since is not None and self.until is not None:
+            log = within_event_time(log, self.since, self.until)
+        elif self.since is not None:
             log = from_event_time(log, self.since)
-        if self.until is not None:
+        elif self.until is not None:
             log = upto_event_time(log, self.until)
         return normalize(drop_attributes(log, self.drop)) if self.drop else log
 
