@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from objectlog import configure
+from objectlog.sources import json_docs
 
 SIZES = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
@@ -21,3 +24,39 @@ def test_tasks_read_bounded_parts(spark, given, files, shuffled):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value)
+
+
+def test_catalogue_counts_keys_without_sets_of_them(spark, monkeypatch):
+    kinds = ["BIGINT", "BIGINT", "DECIMAL(3,1)", "DOUBLE", "BOOLEAN", "STRING", "VOID", None]
+    rng = random.Random(5)
+    rows = []
+    for kind in ("s", "t", "u", None):
+        for name in "abcdef":
+            some = rng.sample(kinds, 2) if name > "c" else ["BIGINT"]
+            for key in (*range(12), None, None):
+                rows += [(key, kind, n, name, "1", rng.choice(some)) for n in range(rng.randrange(3) if name > "a" else 2)]
+    rows += [(1, "v", 0, "one", "1", "BIGINT"), (2, "v", 0, "two", "1", "VOID")]
+    frame = spark.createDataFrame(rows, "event_id int, type string, pos int, name string, value string, kind string")
+    want = {}
+    for kind in "stuv":
+        mine = [r for r in rows if r[1] == kind]
+        for name in sorted({r[3] for r in mine}):
+            known = [(r[0], r[5]) for r in mine if r[3] == name and r[5] not in (None, "VOID")]
+            column = "string"
+            if known and all(k == "BIGINT" for _, k in known) and len({i for i, _ in known}) == len({r[0] for r in mine}):
+                column = "long"
+            elif known and all(k.startswith(("BIGINT", "DECIMAL", "DOUBLE")) for _, k in known):
+                column = "double"
+            elif known and all(k == "BOOLEAN" for _, k in known):
+                column = "boolean"
+            want.setdefault(kind, {})[name] = column
+    plans, plain = [], type(frame).collect
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(type(frame), "collect", seen)
+    assert json_docs.attribute_catalogue(frame, ["event_id"]) == want
+    assert {c for names in want.values() for c in names.values()} >= {"long", "double", "string"}
+    assert len(plans) == 1 and "Expand" not in plans[0]
