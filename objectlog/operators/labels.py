@@ -256,7 +256,7 @@ def window_event_counts(
         counts = future.groupBy(*keys, "slot").agg(
             *[F.sum(F.when(F.col("type") == t, F.col("weight"))).alias(n) for n, t in names.items()]
         )
-        rows = build(log, object_types, grid, delta).join(counts, [*keys, "slot"], "left")
+        rows = build(log, object_types, grid, delta, counts=counts)
     return timed(rows, keys, grid, *[F.coalesce(n, F.lit(0)).cast("long").alias(t) for n, t in names.items()])
 
 

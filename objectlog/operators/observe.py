@@ -80,6 +80,16 @@ def disjoint(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return runs.withColumn("_a", start).where("_a <= _b").drop("_covered")
 
 
+def islands(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs (keys, `_a` to `_b`) that overlap or touch made one, so a key that is always active is one row."""
+    order = Window.partitionBy(*keys).orderBy("_a", "_b")
+    covered = F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(F.col("_a") <= F.col("_covered") + 1, 0).otherwise(1)
+    number = F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = runs.withColumn("_covered", covered).withColumn("_opens", opens).withColumn("_island", number)
+    return numbered.groupBy(*keys, "_island").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")).drop("_island")
+
+
 def future_slots(links: DataFrame, grid: Grid, delta: timedelta) -> DataFrame:
     """Each event once per slot that has it in its window `(t, t + delta]`."""
     first = grid.slot_from_shifted(F.col("time"), -whole_seconds(delta))
@@ -270,27 +280,41 @@ def active_candidates(log: ObjectLog, object_type: str, grid: Grid, delta: timed
 
 
 def _active(log: ObjectLog, object_type: str, grid: Grid, delta: timedelta, name: str) -> DataFrame:
-    """(name, _a, _b): disjoint runs of slots in which an object is active."""
+    """(name, _a, _b): the longest runs of slots in which an object is active."""
     links, members = log.links_and_members(object_type)
     runs = past_runs(links, SINGLE, grid, delta)
     if members is not None:
         runs = runs.join(members.select("object_id"), "object_id", "left_semi")
-    return disjoint(runs, SINGLE).withColumnRenamed("object_id", name)
+    return islands(runs, SINGLE).withColumnRenamed("object_id", name)
 
 
-def _spread_pairs(runs: Sequence[DataFrame]) -> DataFrame:
-    """(src, dst, slot) of runs of both sides: overlaps go while rows are runs, slots come last."""
-    merged = disjoint(reduce(DataFrame.unionByName, runs).where("_a <= _b"), PAIR)
-    return span(merged, F.col("_a"), F.col("_b")).select(*PAIR, "slot")
+def _spread_pairs(runs: Sequence[DataFrame], counts: DataFrame | None = None) -> DataFrame:
+    """(src, dst, slot) of runs of both sides: overlaps go while rows are runs, slots come last.
+
+    `counts` (src, dst, slot, numbers; one row per slot) adds its numbers, null for slots without them. Such a row ends the
+    run it lies in and begins what is left of it, so slots are made where the runs meet and travel no more.
+    """
+    whole = reduce(DataFrame.unionByName, runs).where("_a <= _b")
+    if counts is None:
+        return span(disjoint(whole, PAIR), F.col("_a"), F.col("_b")).select(*PAIR, "slot")
+    names = [c for c in counts.columns if c not in (*PAIR, "slot")]
+    rows = whole.unionByName(counts.withColumnRenamed("slot", "_a"), allowMissingColumns=True)
+    # At one slot the runs come first: their rows are empty then, and the slot is held with its numbers.
+    order = Window.partitionBy(*PAIR).orderBy("_a", F.col("_b").asc_nulls_last())
+    reach = F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    held = rows.withColumns({"_reach": reach, "_next": F.lead("_a").over(order)}).where("_reach IS NOT NULL")
+    slots = span(held, F.col("_a"), F.least("_reach", F.col("_next") - 1))
+    own = F.col("slot") == F.col("_a")
+    return slots.select(*PAIR, "slot", *[F.when(own, F.col(n)).alias(n) for n in names])
 
 
 def observed_pair_candidates(
-    log: ObjectLog, object_types: tuple[str, str], grid: Grid, delta: timedelta
+    log: ObjectLog, object_types: tuple[str, str], grid: Grid, delta: timedelta, counts: DataFrame | None = None
 ) -> DataFrame:
     """(src, dst, slot): met strictly before t, both seen by t, one of them active.
 
     Pairs are folded to their first meeting, then meet the active runs of either
-    side; grid times without activity never appear.
+    side; grid times without activity never appear. `counts` as in `_spread_pairs`.
     """
     src, dst = PAIR
     met = pair_links(log, object_types).groupBy(src, dst).agg(
@@ -308,19 +332,25 @@ def observed_pair_candidates(
         [
             known.join(_active(log, kind, grid, delta, name), name).select(*PAIR, start, "_b")
             for kind, name in zip(object_types, PAIR)
-        ]
+        ],
+        counts,
     )
 
 
 def cartesian_pair_candidates(
-    log: ObjectLog, object_types: tuple[str, str], grid: Grid, delta: timedelta, spread: int = 16
+    log: ObjectLog,
+    object_types: tuple[str, str],
+    grid: Grid,
+    delta: timedelta,
+    spread: int = 16,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """(src, dst, slot): both seen by t, different, at least one active.
 
     The result is a product by definition. Only active × seen combinations are
     formed: active runs of slots meet the objects seen before they end, in
     `spread` × `spread` blocks of both sides. No object is copied for a slot before
-    the pairs are formed and their runs merged.
+    the pairs are formed and their runs merged. `counts` as in `_spread_pairs`.
     """
     every = F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
     seen, active = {}, {}
@@ -338,7 +368,7 @@ def cartesian_pair_candidates(
         objects = seen[other].select("*", own(other).alias("_block1"), every.alias("_block0"))
         met = runs.join(objects, ["_block0", "_block1"]).where((F.col("_from") <= F.col("_b")) & (F.col(one) != F.col(other)))
         parts.append(met.select(*PAIR, F.greatest("_a", "_from").alias("_a"), "_b"))
-    return _spread_pairs(parts)
+    return _spread_pairs(parts, counts)
 
 
 def timed(slots: DataFrame, keys: Sequence[str], grid: Grid, *columns: Column | str) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 
-from objectlog import configure
+from objectlog import Grid, configure
+from objectlog.operators import labels, observe
 from objectlog.sources import json_docs
 
+from .conftest import HOUR, START
+
 SIZES = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
@@ -60,3 +64,50 @@ def test_catalogue_counts_keys_without_sets_of_them(spark, monkeypatch):
     assert json_docs.attribute_catalogue(frame, ["event_id"]) == want
     assert {c for names in want.values() for c in names.values()} >= {"long", "double", "string"}
     assert len(plans) == 1 and "Expand" not in plans[0]
+
+
+def _pairs_log(make_log):
+    rng = random.Random(17)
+    objects = {f"u{i}": "T" for i in range(6)} | {f"k{i}": "U" for i in range(5)}
+    events = [(f"e{i:02d}", rng.choice("abc"), START + HOUR * rng.randrange(70), rng.choices(list(objects), k=3)) for i in range(40)]
+    return objects, events, make_log(objects, events)
+
+
+@pytest.mark.parametrize("mode", ["observed", "cartesian"])
+def test_window_counts_of_pairs_by_brute_force(make_log, mode):
+    objects, events, log = _pairs_log(make_log)
+    grid, delta = Grid.regular(START + 5 * HOUR, 4 * HOUR, 15), 9 * HOUR
+    seen = {o: min((t for _, _, t, ids in events if o in ids), default=START) for o in objects}
+    want = []
+    for s in (o for o in objects if objects[o] == "T"):
+        for d in (o for o in objects if objects[o] == "U"):
+            both = [(kind, m, ids.count(s) * ids.count(d)) for _, kind, m, ids in events if s in ids and d in ids]
+            for i in range(grid.n):
+                t = grid.start + grid.step * i
+                busy = any(t - delta < m <= t and (s in ids or d in ids) for _, _, m, ids in events)
+                met = mode == "cartesian" or any(m < t for _, m, _ in both)
+                if busy and met and seen[s] <= t and seen[d] <= t:
+                    n = Counter()
+                    for kind, m, weight in both:
+                        n[kind] += weight if t < m <= t + delta else 0
+                    want.append((s, d, t, n["a"], n["b"]))
+    got = labels.window_event_counts(log, ("T", "U"), grid, delta, ["a", "b"], pair_mode=mode)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and any(r[3] + r[4] for r in want)
+
+
+@pytest.mark.parametrize("mode", ["observed", "cartesian"])
+def test_slots_of_pairs_do_not_travel(make_log, mode):
+    _, _, log = _pairs_log(make_log)
+    counts = labels.window_event_counts(log, ("T", "U"), Grid.regular(START, HOUR, 15), 9 * HOUR, ["a", "b"], pair_mode=mode)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Window") < plan.index("Join")
+
+
+def test_runs_that_touch_are_one(spark):
+    rng = random.Random(2)
+    rows = [(k, a, a + rng.randrange(4)) for k in ("x", "y", "z") for a in rng.choices(range(60), k=15)]
+    got = {(r.k, r._a, r._b) for r in observe.islands(spark.createDataFrame(rows, "k string, _a int, _b int"), ["k"]).collect()}
+    covered = {(k, i) for k, a, b in rows for i in range(a, b + 1)}
+    first = sorted((k, i) for k, i in covered if (k, i - 1) not in covered)
+    last = sorted((k, i) for k, i in covered if (k, i + 1) not in covered)
+    assert got == {(k, a, b) for (k, a), (_, b) in zip(first, last)}
