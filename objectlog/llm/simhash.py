@@ -39,7 +39,8 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int.from_bytes(bits.tobytes(), signed=True)
 
 
-def _fingerprints(texts: pa.Array) -> pa.Array:
+def fingerprints(texts: pa.Array) -> pa.Array:
+    """`fingerprint` of each text; null is like the empty text."""
     return pa.array([fingerprint(t or b"") for t in texts.to_pylist()], pa.int64())
 
 
@@ -95,7 +96,7 @@ def clusters(docs: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS
     Null and empty texts have the fingerprint zero, linked like any other. Repeated rows share a component. Work on
     links is on distinct fingerprints, so a large group of copies costs one node. An empty table gives an empty one.
     """
-    made = F.arrow_udf(_fingerprints, "bigint")
+    made = F.arrow_udf(fingerprints, "bigint")
     rows = stored(
         docs.select(
             "doc_id", F.md5(F.coalesce(utf8("text"), F.lit(b""))).alias("_key"), made(utf8("text")).alias("_fp")
