@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import class_index, seconds_between
 from ..functions.ordered import number_rows
+from ..functions.sieve import sieve
 from ..grid import Grid
 from ..model import ObjectLog, quoted
 from . import observe
@@ -295,9 +296,13 @@ def known_at(log: ObjectLog, at: datetime) -> DataFrame:
 
 
 def drop_unknown(labels: DataFrame, objects: DataFrame, keys: Sequence[str] = SINGLE) -> DataFrame:
-    """Labels whose every entity is among the given object ids."""
+    """Labels whose every entity is among the given object ids.
+
+    Labels of other entities mostly go by a sieve, before any exchange; ids may repeat.
+    """
     for key in keys:
-        labels = labels.join(objects.select(F.col("object_id").alias(key)), key, "left_semi")
+        ids = objects.select(F.col("object_id").alias(key))
+        labels = sieve(labels, ids, key, sinks=True).join(ids, key, "left_semi")
     return labels
 
 
