@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.asof import with_rank
 from ..functions.columns import from_micros, micros, to_micros
-from ..functions.ordered import densify, fold, number_rows, quantiles, spread
+from ..functions.ordered import HEAVY, by_weight, densify, fold, number_rows, quantiles, spread
 from ..grid import span
 from ..model import ObjectLog, quoted
 
@@ -74,14 +74,21 @@ def coverage_by_min_length(log: ObjectLog) -> DataFrame:
 
     The running totals run over the lengths that occur (at most about the square
     root of twice the number of links); the steps between are filled in after.
+
+    The events of an object are told apart and counted where its links meet; the links of heavy objects (see
+    `by_weight`) are counted pair by pair and joined to the counts.
     """
-    lengths = trace_lengths(log)
-    per_event = (
-        log.e2o.select("event_id", "object_id")
-        .join(lengths, "object_id")
-        .groupBy("event_id")
-        .agg(F.max("object_trace_length").alias("length"))
-    )
+    links = log.e2o.select("event_id", "object_id").where("object_id IS NOT NULL")
+    light, heavy = by_weight(links, "object_id", HEAVY)
+    count = F.count("event_id").over(Window.partitionBy("object_id")).alias("object_trace_length")
+    met = light.repartition("object_id").dropDuplicates(["object_id", "event_id"]).select("object_id", "event_id", count)
+    met = met.where("object_trace_length > 0")
+    lengths = met.groupBy("object_id").agg(F.max("object_trace_length").alias("object_trace_length"))
+    if heavy is not None:
+        crowds = trace_lengths(log.replace(e2o=heavy))
+        met = met.unionByName(heavy.join(crowds, "object_id"))
+        lengths = lengths.unionByName(crowds)
+    per_event = met.groupBy("event_id").agg(F.max("object_trace_length").alias("length"))
     sides = per_event.groupBy("length").agg(
         F.count(F.lit(1)).alias("events"), F.lit(0).cast("long").alias("objects")
     ).unionByName(

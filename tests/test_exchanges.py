@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from objectlog.operators import labels, transform
+from objectlog.operators import labels, profile, timing, transform
 from objectlog.sources import fixtures
 
 START = datetime(2024, 1, 1)
@@ -71,6 +71,45 @@ def test_links_meet_their_event_once(apart, crowded):
     assert exchanges(transform.event_objects(crowded)) == 1
 
 
+@pytest.mark.parametrize("heavy", [profile.HEAVY, 2, 1, 0])
+def test_light_and_heavy_objects_give_the_same_rows(crowded, spark, monkeypatch, heavy):
+    """At 0 all objects are heavy. One object has many links at one time, some twice; links without an object or event stay odd."""
+    many = [(f"e{n % 5}", "x50", "q", START + timedelta(hours=n // 2)) for n in range(12)]
+    odd = [(None, "alone", "q", START), (None, "alone", "q", START), ("e1", None, "q", START + timedelta(hours=3)), ("e1", "x50", "q", None)]
+    log = crowded.replace(e2o=crowded.e2o.unionByName(spark.createDataFrame(many + odd, crowded.e2o.schema)))
+    log = log.replace(event=crowded.event.dropDuplicates(["event_id"]))
+
+    def rows(df):
+        return sorted(map(str, df.collect()))
+
+    def all_rows():
+        return rows(profile.coverage_by_min_length(log)), rows(timing.recent_activity(log)), rows(timing.recent_k_activities(log, 3))
+
+    monkeypatch.setattr(profile, "HEAVY", heavy)
+    monkeypatch.setattr(timing, "HEAVY", heavy)
+    found = all_rows()
+    monkeypatch.setattr(profile, "HEAVY", 0)
+    monkeypatch.setattr(timing, "HEAVY", 0)
+    assert found == all_rows()
+    links = [(r.event_id, r.object_id) for r in log.e2o.collect() if r.object_id]
+    length = {o: len({e for e, p in links if p == o and e}) for _, o in links}
+    top = {}
+    for e, o in links:
+        if length[o]:
+            top[e] = max(top.get(e, 0), length[o])
+    for r in profile.coverage_by_min_length(log).collect():
+        k = r.min_object_trace_length
+        assert r.event_count == sum(n >= k for n in top.values()) and r.object_count == sum(n >= k for n in length.values() if n)
+
+
+def test_links_meet_their_object_once(apart, crowded):
+    plan = profile.coverage_by_min_length(crowded)
+    assert "Join" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    log = crowded.replace(e2o=crowded.e2o.where("object_id IS NOT NULL"))
+    plan = timing._lagged_activity(log, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "_day" not in plan
+
+
 def test_labels_of_unknown_entities_do_not_travel(apart, crowded):
     known = crowded.object.where("object_id like 'x5%'").select("object_id")
     rows = crowded.links().select("object_id", "event_id", "time")
